@@ -35,8 +35,12 @@ from spanloom.llm.shared import WHITE, read, tune, write_table
 CAPACITY, END = 4096, 1
 RANK_GROUP = 50_000
 PASSES, PATTERNS_PER_LENGTH, STEPS = 6, 6, 120
-CACHE_ENTRIES, CACHE_CHARS = 300_000, 40
+#: Words and stems that a worker keeps, and their longest; about 150 MB.
+CACHE_ENTRIES, STEM_ENTRIES, CACHE_CHARS = 250_000, 500_000, 40
 SPLIT = re.compile(rf"[{WHITE}]+")
+#: A run of letters, then symbols; letters whose lower case depends on place or grows are left out.
+WORD = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
+ODD = re.compile("[\u0130\u03a3\u03c2<]")
 #: str.split() also cuts at these, the tokenizer does not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -59,19 +63,47 @@ class Ids:
 
         self.tok = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+
+    def _encode(self, words: list[str]) -> None:
+        """Learn the stems in ``words``."""
+        if len(self.stems) > STEM_ENTRIES:
+            self.stems.clear()
+        new = list({w for w in words if w not in self.stems})
+        for i in range(0, len(new), 20_000):
+            part = new[i : i + 20_000]
+            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.stems[w] = array("I", e.ids).tobytes()
+
+    def _learn(self, missing: list[str]) -> dict[str, bytes]:
+        """Ids of words not known yet. Letters and the symbols after them are tokens apart, and
+        letters are lower-cased by the tokenizer, so most words come down to fewer stems."""
+        split, now = {}, {}
+        for w in missing:
+            m = WORD.fullmatch(w) if len(w) <= CACHE_CHARS else None
+            split[w] = (m[1].lower(), m[2]) if m and m[1].isalpha() and not ODD.search(w) else (w, "")
+        short = [p for w, ps in split.items() if len(w) <= CACHE_CHARS for p in ps if p]
+        self._encode(short)
+        long = [w for w in missing if len(w) > CACHE_CHARS]
+        for w, e in zip(long, self.tok.encode_batch_fast(long, add_special_tokens=False), strict=True):
+            now[w] = array("I", e.ids).tobytes()
+        stems = self.stems
+        for w in missing:
+            if len(w) <= CACHE_CHARS:
+                a, z = split[w]
+                now[w] = stems[a] + stems[z] if z else stems[a]
+        return now
 
     def of(self, texts: list[str | None]) -> list[bytes]:
         split = [(SPLIT.split(t) if SEPARATORS.search(t) else t.split()) if t else [] for t in texts]
-        known, now = self.known, {}
-        if len(known) > CACHE_ENTRIES:
-            known.clear()
-        missing = list({w for ws in split for w in ws if w not in known})
-        for i in range(0, len(missing), 20_000):
-            part = missing[i : i + 20_000]
-            for w, e in zip(part, self.tok.encode_batch(part, add_special_tokens=False), strict=True):
-                (known if len(w) <= CACHE_CHARS else now)[w] = array("I", e.ids).tobytes()
+        if len(self.known) > CACHE_ENTRIES:
+            self.known.clear()
+        known = self.known
+        now = self._learn(list({w for ws in split for w in ws if w and w not in known}))
+        known.update((w, b) for w, b in now.items() if len(w) <= CACHE_CHARS)
+        now[""] = b""
         end = array("I", [END]).tobytes()
-        if now:
+        if any(len(w) > CACHE_CHARS for w in now) or any("" in ws[:1] or "" in ws[-1:] for ws in split):
             return [b"".join([known[w] if w in known else now[w] for w in ws]) + end for ws in split]
         return [b"".join(map(known.__getitem__, ws)) + end for ws in split]
 
