@@ -21,7 +21,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm.shared import WHITE, read, tune
+from spanloom.llm.shared import WHITE, fewer_collections, read, tune
 
 SPLIT = re.compile(rf"(?<=\S)(?=[{WHITE}])")
 RUN = re.compile(rf"[{WHITE}]+")
@@ -48,6 +48,7 @@ class Codec:
     def __init__(self, rank_path: str, pattern: str):
         import tiktoken
 
+        fewer_collections()
         with open(rank_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.enc = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})

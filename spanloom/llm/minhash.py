@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.graph import connected_components
-from spanloom.llm.shared import partitions, read, tune, write_table
+from spanloom.llm.shared import fewer_collections, partitions, read, tune, write_table
 
 SHINGLE, BANDS, ROWS = 5, 32, 5
 T = BANDS * ROWS
@@ -64,6 +64,7 @@ class Words(dict):
 
 @lru_cache(maxsize=1)
 def _words() -> Words:
+    fewer_collections()
     return Words()
 
 

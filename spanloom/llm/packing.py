@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.shared import WHITE, read, tune, write_table
+from spanloom.llm.shared import WHITE, fewer_collections, read, tune, write_table
 
 CAPACITY, END = 4096, 1
 RANK_GROUP = 50_000
@@ -59,6 +59,7 @@ class Ids:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        fewer_collections()
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -67,43 +68,48 @@ class Ids:
 
     def _encode(self, words: list[str]) -> None:
         """Learn the stems in ``words``."""
-        if len(self.stems) > STEM_ENTRIES:
-            self.stems.clear()
-        new = list({w for w in words if w not in self.stems})
+        stems = self.stems
+        if len(stems) > STEM_ENTRIES:
+            stems.clear()
+        new = list(set(words).difference(stems))
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
-            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.stems[w] = array("I", e.ids).tobytes()
+            stems.update(zip(part, [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(part, add_special_tokens=False)], strict=True))
 
-    def _learn(self, missing: list[str]) -> dict[str, bytes]:
-        """Ids of words not known yet. Letters and the symbols after them are tokens apart, and
-        letters are lower-cased by the tokenizer, so most words come down to fewer stems."""
-        split, now = {}, {}
+    def _learn(self, missing: set[str]) -> dict[str, bytes]:
+        """Ids of words not known yet; returns those too long to keep. Letters and the symbols
+        after them are tokens apart, and letters are lower-cased by the tokenizer, so most words
+        come down to fewer stems."""
+        match, words, heads, tails, long = WORD.fullmatch, [], [], [], []
         for w in missing:
-            m = WORD.fullmatch(w) if len(w) <= CACHE_CHARS else None
-            split[w] = (m[1].lower(), m[2]) if m and m[1].isalpha() and not ODD.search(w) else (w, "")
-        short = [p for w, ps in split.items() if len(w) <= CACHE_CHARS for p in ps if p]
-        self._encode(short)
-        long = [w for w in missing if len(w) > CACHE_CHARS]
-        for w, e in zip(long, self.tok.encode_batch_fast(long, add_special_tokens=False), strict=True):
-            now[w] = array("I", e.ids).tobytes()
+            if len(w) > CACHE_CHARS:
+                long.append(w)
+                continue
+            words.append(w)
+            m = match(w)
+            if m and (w.isascii() or (m[1].isalpha() and not ODD.search(w))):
+                heads.append(m[1].lower())
+                tails.append(m[2])
+            else:
+                heads.append(w)
+                tails.append("")
+        self._encode(heads + [z for z in set(tails) if z])
         stems = self.stems
-        for w in missing:
-            if len(w) <= CACHE_CHARS:
-                a, z = split[w]
-                now[w] = stems[a] + stems[z] if z else stems[a]
-        return now
+        stems[""] = b""
+        self.known.update(zip(words, [stems[a] + stems[z] for a, z in zip(heads, tails, strict=True)], strict=True))
+        return {w: array("I", e.ids).tobytes() for w, e in zip(long, self.tok.encode_batch_fast(long, add_special_tokens=False), strict=True)}
 
     def of(self, texts: list[str | None]) -> list[bytes]:
         split = [(SPLIT.split(t) if SEPARATORS.search(t) else t.split()) if t else [] for t in texts]
-        if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
         known = self.known
-        now = self._learn(list({w for ws in split for w in ws if w and w not in known}))
-        known.update((w, b) for w, b in now.items() if len(w) <= CACHE_CHARS)
-        now[""] = b""
+        if len(known) > CACHE_ENTRIES:
+            known.clear()
+        seen: set[str] = set()
+        for ws in split:
+            seen.update(ws)
+        now = self._learn(seen.difference(known))
         end = array("I", [END]).tobytes()
-        if any(len(w) > CACHE_CHARS for w in now) or any("" in ws[:1] or "" in ws[-1:] for ws in split):
+        if now:
             return [b"".join([known[w] if w in known else now[w] for w in ws]) + end for ws in split]
         return [b"".join(map(known.__getitem__, ws)) + end for ws in split]
 

@@ -52,8 +52,19 @@ def drop_table(df: DataFrame) -> None:
 
 
 def tune(spark: SparkSession) -> None:
-    """Small Arrow batches: a batch of very long texts must fit a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    """Arrow batches small enough that very long texts fit a worker's memory, and shuffle files
+    deleted at the end of each query instead of when the driver happens to collect its garbage."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def fewer_collections() -> None:
+    """For workers that keep large dictionaries of strings: cycle collection would walk them again
+    and again, and they hold no cycles."""
+    import gc
+
+    gc.set_threshold(500_000, 50, 100)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.shared import read, tune
+from spanloom.llm.shared import fewer_collections, read, tune
 
 MAX_LABELLED = 8_000
 BUCKETS = 1 << 20
@@ -190,6 +190,7 @@ class Chain:
         import numpy as np
 
         if not hasattr(self, "known"):
+            fewer_collections()
             self.used = np.unique(np.concatenate([m[0] for m in self.models]))
             self.place = {int(b): i for i, b in enumerate(self.used)}
             self.known: dict[str, tuple[int, ...]] = {}
