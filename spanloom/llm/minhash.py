@@ -13,11 +13,12 @@ already connected need no look:
 1. Rows with equal sets share one representative, the smallest id.
 2. Each representative is compared with one leader, the smallest id it shares a bucket with.
 3. In buckets that still hold several components, all pairs across components are estimated from
-   the sketches, block by block; those at ``ESTIMATE`` or more are confirmed too. Nothing is capped.
+   the sketches, block by block; those at ``ESTIMATE`` or more are confirmed there, too. Nothing
+   is capped.
 
 A pair at the threshold shares no bucket with probability (1 - 0.75^5)^32 < 2e-4. Comparisons are
 dealt out by (leader, salt), with at most ``GROUP`` texts each, so a group of copies of any size is
-spread over tasks; no task holds more than one leader's set and the text it compares.
+spread over tasks; in step 3 a task holds two blocks of ``BLOCK`` texts at most.
 
 Edge cases: null, empty or blank texts have an empty set (n_shingles 0) and link with nothing.
 Each row is returned; rows that repeat an id with another text are compared by their own text. Null ids are returned with themselves
@@ -43,8 +44,8 @@ PERCENT = 75
 #: Pairs whose estimate from 160 coordinates is below this are 4.4 standard deviations under 0.75.
 ESTIMATE = 0.60
 GROUP, BLOCK = 256, 512
-#: Ids of at most 16 MB may be sent to every worker; more are joined by a shuffle.
-MAX_BROADCAST_IDS = 1_000_000
+#: Rows of ids, at most about 20 MB, that may be sent to every worker; more are joined by a shuffle.
+MAX_BROADCAST_IDS = 400_000
 M64 = (1 << 64) - 1
 
 
@@ -161,11 +162,11 @@ def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [signature(t) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            n, h1, h2, keys, small = zip(*got, strict=True) if got else ((),) * 5
+            n, h1, h2, keys, _ = zip(*got, strict=True) if got else ((),) * 5
             i64 = pa.int64()
-            yield pa.record_batch([b.column(0), pa.array(n, i64), pa.array(h1, i64), pa.array(h2, i64), pa.array(keys, pa.list_(i64)), pa.array(small, pa.binary())], names=["id", "n", "h1", "h2", "bands", "small"])
+            yield pa.record_batch([b.column(0), pa.array(n, i64), pa.array(h1, i64), pa.array(h2, i64), pa.array(keys, pa.list_(i64))], names=["id", "n", "h1", "h2", "bands"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n long, h1 long, h2 long, bands array<long>, small binary")
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n long, h1 long, h2 long, bands array<long>")
 
 
 def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -198,54 +199,79 @@ def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long").distinct()
 
 
-def _estimate(rows: DataFrame, spark: SparkSession) -> DataFrame:
-    """rows: (key, rep, comp, small) of unresolved buckets. Pairs (u, lead) of different
-    components whose estimate reaches ESTIMATE; blocks of a bucket are met pair by pair."""
+def confirm_across(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows: (key, rep, comp) of unresolved buckets. Links (u, v) that join different components.
+
+    Blocks of a bucket meet pair by pair. A pair is looked at only in the first bucket the two
+    share, first by its estimate, then by its full sets; of the links found a block gives a
+    spanning forest, so no more rows come out than went in."""
+    spark = docs.sparkSession
     load = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
     dealt = rows.join(load, "key").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("nb")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")
-    dealt = dealt.select("key", "rep", "comp", "small", "block", other).select("key", F.least("block", "o").alias("b1"), F.greatest("block", "o").alias("b2"), "block", "rep", "comp", "small")
-    dealt = dealt.repartition(partitions(spark), "key", "b1", "b2").sortWithinPartitions("key", "b1", "b2")
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    plan = write_table(dealt.select("key", F.least("block", "o").alias("b1"), F.greatest("block", "o").alias("b2"), "block", "rep", "comp"), "minhash-blocks")
+    if plan.count() <= MAX_BROADCAST_IDS:
+        plan = F.broadcast(plan)
+    texts = docs.join(plan, docs["id"] == plan["rep"]).select("key", "b1", "b2", "block", "rep", "comp", "text")
+    texts = texts.repartition(partitions(spark), "key", "b1", "b2").sortWithinPartitions("key", "b1", "b2")
 
-    def pairs(group: list[tuple]) -> tuple[list[int], list[int]]:
+    def links(group: list[tuple]) -> list[tuple[int, int]]:
         import numpy as np
 
-        (_, b1, b2) = group[0][:3]
-        rep = np.array([g[4] for g in group])
-        comp = np.array([g[5] for g in group])
-        side = np.array([g[3] for g in group])
-        x = np.frombuffer(b"".join(g[6] for g in group), np.uint16).reshape(len(group), T)
-        us: list[int] = []
-        vs: list[int] = []
+        key, b1, b2 = group[0][:3]
+        comp, side = np.array([g[5] for g in group]), np.array([g[3] for g in group])
+        signs = [signature(g[6]) for g in group]
+        fit = np.array([s[0] > 0 for s in signs])
+        bands = np.array([s[3] if s[0] else [0] * BANDS for s in signs], np.int64)
+        x = np.array([np.frombuffer(s[4] or bytes(2 * T), np.uint16) for s in signs])
+        sets: dict[int, object] = {}
+        up = {c: c for c in comp.tolist()}
+
+        def root(c: int) -> int:
+            while up[c] != c:
+                up[c] = up[up[c]]
+                c = up[c]
+            return c
+
+        def of(i: int):
+            if i not in sets:
+                sets[i] = shingle_set(group[i][6])
+            return sets[i]
+
+        out = []
+        places = np.arange(len(group))
         for i in range(len(group)):
-            if b1 != b2 and side[i] != b1:
+            if not fit[i] or (b1 != b2 and side[i] != b1):
                 continue
-            mask = comp != comp[i]
-            mask &= (side == b2) if b1 != b2 else (np.arange(len(group)) > i)
-            j = np.flatnonzero(mask)
-            if len(j):
-                j = j[(x[j] == x[i]).sum(1) >= ESTIMATE * T]
-                us += np.maximum(rep[j], rep[i]).tolist()
-                vs += np.minimum(rep[j], rep[i]).tolist()
-        return us, vs
+            j = np.flatnonzero(fit & (comp != comp[i]) & ((side == b2) if b1 != b2 else (places > i)))
+            j = j[(x[j] == x[i]).sum(1) >= ESTIMATE * T]
+            same = bands[j] == bands[i]
+            j = j[same.any(1) & (bands[i][same.argmax(1)] == key)]
+            for k in j.tolist():
+                a, b = root(int(comp[i])), root(int(comp[k]))
+                if a != b and similar(of(i), of(k)):
+                    up[max(a, b)] = min(a, b)
+                    out.append((group[i][4], group[k][4]))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["u", "v"])
+
         group: list[tuple] = []
         for b in batches:
-            us, vs = [], []
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if group and group[0][:3] != row[:3]:
-                    a, c = pairs(group)
-                    us += a
-                    vs += c
+            found = []
+            columns = [*(c.to_pylist() for c in b.columns[:6]), b.column(6).cast(pa.binary()).to_pylist()]
+            for r in zip(*columns, strict=True):
+                if group and group[0][:3] != r[:3]:
+                    found += links(group)
                     group = []
-                group.append(row)
-            yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "lead"])
+                group.append(r)
+            yield made(found)
         if group:
-            us, vs = pairs(group)
-            yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "lead"])
+            yield made(links(group))
 
-    return dealt.mapInArrow(run, "u long, lead long").distinct()
+    return texts.mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,11 +290,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     left = buckets.join(shared.select("key"), "key", "left_semi").join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
     left = write_table(left, "minhash-left")
     open_ = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    small = reps.select(F.col("id").alias("rep"), "small").dropDuplicates(["rep"])
-    second = write_table(_estimate(left.join(open_, "key", "left_semi").join(small, "rep"), spark), "minhash-second")
+    second = write_table(confirm_across(docs, left.join(open_, "key", "left_semi")), "minhash-second")
     if second.limit(1).count():
-        links = links.unionByName(confirm(docs, second))
-        parts = connected_components(links)
+        parts = connected_components(links.unionByName(second))
     # Rows with equal sets follow their representative; rows with the same id are one vertex.
     named = sets.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", F.col("n").alias("n_"), F.coalesce("component", "rep").alias("component_id"))
     out = sigs.join(named, (sigs["h1"] == named["h1"]) & (sigs["h2"] == named["h2"]) & (sigs["n"] == named["n_"]) & (sigs["n"] > 0) & sigs["id"].isNotNull(), "left")
