@@ -127,7 +127,7 @@ class Chain:
 
         if not len(rows):
             return np.empty(0, np.int64)
-        owner = np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))
+        owner = np.repeat(np.arange(len(indptr) - 1, dtype=np.int32), np.diff(indptr))
         pos = np.bincount(rows, weights=y[owner], minlength=BUCKETS)
         tot = np.bincount(rows, minlength=BUCKETS)
         n, n1 = len(y), max(y.sum(), 1e-9)
@@ -142,7 +142,7 @@ class Chain:
 
         x = np.zeros((len(indptr) - 1, len(chosen)), np.float32)
         if len(chosen) and len(rows):
-            owner = np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))
+            owner = np.repeat(np.arange(len(indptr) - 1, dtype=np.int32), np.diff(indptr))
             at = np.minimum(np.searchsorted(chosen, rows), len(chosen) - 1)
             hit = chosen[at] == rows
             x[owner[hit], at[hit]] = 1
@@ -232,7 +232,7 @@ def flat(docs: list):
 
     indptr = np.zeros(len(docs) + 1, np.int64)
     indptr[1:] = np.cumsum([len(d) for d in docs])
-    return (np.concatenate([np.asarray(sorted(d), np.int64) for d in docs]) if docs else np.empty(0, np.int64)), indptr
+    return (np.concatenate([np.sort(np.asarray(d, np.int32)) for d in docs]) if docs else np.empty(0, np.int32)), indptr
 
 
 def train(docs: DataFrame, labels: DataFrame, chain=CHAIN, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> Chain:
