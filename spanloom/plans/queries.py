@@ -5,6 +5,332 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spanloom.functions import geometry as G
+from spanloom.functions import text as T
+from spanloom.operators import marks, outputs
+from spanloom.operators.locate import locate_exact
+from spanloom.plans import fixtures as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def both(*ctes: str) -> str:
+    return "WITH " + ",\n".join(ctes) + "\n"
+
+
+@query("""
+SELECT b.item_id AS seq, d.doc_id, strpos(lower(d.text), lower(b.text)) - 1 AS start,
+       strpos(lower(d.text), lower(b.text)) - 1 + length(b.text) AS "end", 'exact' AS method
+FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text))""")
+def locate_exact_(spark, d):
+    return locate_exact(X.table(spark, d, "benchmark").select(F.col("item_id").alias("seq"), "text"), X.table(spark, d, "documents"))
+
+
+QUERIES["locate_exact"], SQL["locate_exact"] = QUERIES.pop("locate_exact_"), SQL.pop("locate_exact_")
+
+NORMAL = r"lower(trim(regexp_replace(regexp_replace(regexp_replace(translate(raw, chr(8217) || chr(8211) || chr(160), '''- '), '-\s*\n\s*', '', 'g'), '\s*-\s*', '-', 'g'), '\s+', ' ', 'g')))"
+
+
+@query(both(X.SQL_DAMAGED) + f"SELECT doc_id, {NORMAL} AS norm FROM fx_damaged")
+def normalize_text(spark, d):
+    return X.damaged(spark, d).select("doc_id", T.normalize_text(F.col("raw")).alias("norm"))
+
+
+@query(both(X.SQL_DAMAGED) + r"""
+SELECT doc_id, trim(regexp_replace(regexp_replace(replace(raw, chr(160), ' '), '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g'), '\s+', ' ', 'g')) AS shown FROM fx_damaged""")
+def clean_display_text(spark, d):
+    return X.damaged(spark, d).select("doc_id", T.clean_display(F.col("raw")).alias("shown"))
+
+
+@query(r"""
+SELECT conv_id, turn, CAST(len(regexp_extract_all(text, '\s+[.,;:!?)]')) + len(regexp_extract_all(text, '[("'']\s+')) AS INT) AS score
+FROM (SELECT conv_id, turn, regexp_replace(text, '(\w)([.,])', '\1 \2', 'g') AS text FROM conversations) t
+WHERE NOT regexp_matches(text, '(^|[^\p{L}0-9_])\p{L}\s+\p{L}')""")
+def broken_output_score(spark, d):
+    text = F.regexp_replace("text", "([0-9A-Za-z_])([.,])", "$1 $2")
+    rows = X.table(spark, d, "conversations").select("conv_id", "turn", text.alias("text"))
+    return rows.filter(~F.col("text").rlike("(^|[^\\p{L}0-9_])\\p{L}\\s+\\p{L}")).select("conv_id", "turn", T.broken_output_score(F.col("text")).alias("score"))
+
+
+@query(r"""
+WITH t AS (SELECT conv_id, turn, trim(string_split(text, chr(10))[1]) AS s FROM conversations),
+u AS (SELECT *, len(regexp_extract_all(s, '[0-9A-Za-zÀ-ɏ]+')) AS words, len(regexp_extract_all(s, '\p{L}')) AS letters, len(regexp_extract_all(s, '\p{Lu}')) AS upper FROM t)
+SELECT conv_id, turn, length(s) BETWEEN 1 AND 120 AND NOT regexp_matches(s, '[.!?;,]$') AND words BETWEEN 2 AND 12 AND letters > 0
+       AND (upper / greatest(letters, 1) >= 0.72 OR NOT regexp_matches(s, '(^|\s)[^\s0-9\p{Lu}]')) AS heading FROM u""")
+def heading_like(spark, d):
+    first_line = F.element_at(F.split("text", "\n"), 1)
+    return X.table(spark, d, "conversations").select("conv_id", "turn", T.heading_like(first_line).alias("heading"))
+
+
+@query(r"""
+SELECT doc_id, CASE WHEN regexp_matches(text, '^[\p{L}\p{N}"“‘(\[]') THEN 0.5::DOUBLE ELSE 0 END
+             + CASE WHEN regexp_matches(text, '[\p{L}\p{N}.!?"”’)*\]]\z') THEN 0.5::DOUBLE ELSE 0 END AS score FROM documents""")
+def boundary_score(spark, d):
+    return X.table(spark, d, "documents").select("doc_id", T.boundary_score(F.col("text")).alias("score"))
+
+
+PALETTE_SQL = ", ".join(f"({i}, '{n}', {x}::DOUBLE, {y}::DOUBLE, {z}::DOUBLE)" for i, (n, x, y, z) in enumerate(G.PALETTE))
+
+
+@query(f"""
+WITH c AS (SELECT o_orderkey AS k, (o_orderkey * 37 % 256) / 255::DOUBLE AS r, (o_orderkey * 91 % 251) / 255::DOUBLE AS g, (o_custkey * 57 % 256) / 255::DOUBLE AS b FROM orders),
+p(i, name, x, y, z) AS (VALUES {PALETTE_SQL}),
+m AS (SELECT c.*, name, sqrt((r - x) * (r - x) + (g - y) * (g - y) + (b - z) * (b - z)) AS dist,
+             row_number() OVER (PARTITION BY k ORDER BY sqrt((r - x) * (r - x) + (g - y) * (g - y) + (b - z) * (b - z)), i) AS nth FROM c, p)
+SELECT k, CASE WHEN (r + g + b) / 3 < 0.5 OR (r + g + b) / 3 > 0.95 THEN NULL WHEN dist <= 0.22 THEN name
+  WHEN g > r AND g > b AND g > 0.65 THEN 'green' WHEN r > 0.75 AND g > 0.65 AND b < 0.65 THEN 'yellow' WHEN r > 0.75 AND b > 0.75 AND g < 0.75 THEN 'pink'
+  WHEN b > 0.7 AND r < 0.7 AND g < 0.9 THEN 'blue' WHEN r > 0.7 AND g < 0.55 AND b < 0.55 THEN 'red' END AS color FROM m WHERE nth = 1""")
+def classify_color(spark, d):
+    c = X.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.expr("(o_orderkey * 37 % 256) / 255D").alias("r"), F.expr("(o_orderkey * 91 % 251) / 255D").alias("g"), F.expr("(o_custkey * 57 % 256) / 255D").alias("b"))
+    return c.select("k", G.classify_color(F.col("r"), F.col("g"), F.col("b")).alias("color"))
+
+
+@query(both(X.SQL_WORDS, X.SQL_RECTS) + """
+SELECT doc_id, page_no, color, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, sum(greatest(x1 - x0, 0) * greatest(y1 - y0, 0)) AS area
+FROM fx_rects GROUP BY ALL""")
+def rect_area_bbox(spark, d):
+    r = X.rects(X.words(spark, d))
+    return r.groupBy("doc_id", "page_no", "color").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.sum(G.area(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))).alias("area"))
+
+
+@query(both(X.SQL_WORDS, X.SQL_RECTS, X.SQL_HITS) + "SELECT doc_id, page_no, rect_id, word_idx, round(overlap, 6) AS overlap FROM fx_hits")
+def word_rect_hits(spark, d):
+    w = X.words(spark, d)
+    return marks.word_rect_hits(w, X.rects(w)).withColumn("overlap", F.round("overlap", 6))
+
+
+@query(both(X.SQL_WORDS, X.SQL_RECTS, X.SQL_HITS) + """
+SELECT doc_id, page_no, rect_id, color FROM fx_rects r WHERE (x1 - x0) * (y1 - y0) >= 25
+AND NOT EXISTS (SELECT 1 FROM fx_hits h WHERE h.doc_id = r.doc_id AND h.page_no = r.page_no AND h.rect_id = r.rect_id)""")
+def image_rects(spark, d):
+    w = X.words(spark, d)
+    r = X.rects(w)
+    return marks.image_rects(r, marks.word_rect_hits(w, r)).select("doc_id", "page_no", "rect_id", "color")
+
+
+@query(both(X.SQL_WORDS, X.SQL_RECTS) + """, f AS (
+SELECT *, max(y1) OVER (PARTITION BY doc_id, page_no, color ORDER BY y0, x0, rect_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM fx_rects)
+SELECT doc_id, page_no, color, rect_id, CAST(sum(CASE WHEN top IS NULL OR y0 - top >= 8 THEN 1 ELSE 0 END)
+  OVER (PARTITION BY doc_id, page_no, color ORDER BY y0, x0, rect_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM f""")
+def vertical_islands(spark, d):
+    return marks.vertical_islands(X.rects(X.words(spark, d))).select("doc_id", "page_no", "color", "rect_id", "island")
+
+
+@query()
+def passages_fold(spark, d):
+    w = X.words(spark, d)
+    r = X.rects(w)
+    return marks.passages(w, r, marks.word_rect_hits(w, r)).select("doc_id", "page_no", "color", "passage", F.size("rect_ids").alias("n_rects"), F.array_join("word_idx", ",").alias("word_idx"))
+
+
+@query()
+def extract_highlights(spark, d):
+    w = X.words(spark, d)
+    return marks.highlights(w, X.rects(w))
+
+
+@query(both(X.SQL_WORDS) + """
+SELECT doc_id, page_no, word_idx,
+  coalesce(string_agg(text, ' ') OVER (PARTITION BY doc_id, page_no ORDER BY word_idx ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), '') AS before,
+  coalesce(string_agg(text, ' ') OVER (PARTITION BY doc_id, page_no ORDER BY word_idx ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING), '') AS after FROM fx_words""")
+def context_windows(spark, d):
+    return marks.context_windows(X.words(spark, d))
+
+
+SPANS_SQL = r"""n AS (SELECT doc_id, page_no, word_idx, lower(trim(regexp_replace(regexp_replace(text, '\s*-\s*', '-', 'g'), '\s+', ' ', 'g'))) AS norm FROM fx_words)"""
+
+
+@query(both(X.SQL_WORDS, SPANS_SQL) + """
+SELECT doc_id, page_no, word_idx, norm, CAST(coalesce(sum(length(norm) + 1) OVER w, 0) AS BIGINT) AS start, CAST(coalesce(sum(length(norm) + 1) OVER w, 0) + length(norm) AS BIGINT) AS "end"
+FROM n WHERE norm <> '' WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY word_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def page_text_spans(spark, d):
+    return marks.page_spans(X.words(spark, d))
+
+
+@query(both(X.SQL_WORDS, SPANS_SQL) + "SELECT doc_id, page_no, string_agg(norm, ' ' ORDER BY word_idx) AS norm_text FROM n WHERE norm <> '' GROUP BY ALL")
+def page_text(spark, d):
+    return marks.page_text(X.words(spark, d))
+
+
+@query()
+def line_quads(spark, d):
+    w = X.words(spark, d)
+    return marks.line_quads(w, marks.word_rect_hits(w, X.rects(w)))
+
+
+@query(both(X.SQL_WORDS, X.SQL_RECTS, X.SQL_HITS) + """, h AS (SELECT DISTINCT doc_id, page_no, rect_id FROM fx_hits)
+SELECT r.doc_id, r.color, count(*) AS n_rects, count(h.rect_id) AS n_text, count(*) FILTER (WHERE h.rect_id IS NULL AND (x1 - x0) * (y1 - y0) >= 25) AS n_image
+FROM fx_rects r LEFT JOIN h ON r.doc_id = h.doc_id AND r.page_no = h.page_no AND r.rect_id = h.rect_id GROUP BY ALL""")
+def color_stats(spark, d):
+    w = X.words(spark, d)
+    r = X.rects(w)
+    marked = marks.word_rect_hits(w, r).select("doc_id", "page_no", "rect_id").distinct().withColumn("hit", F.lit(True))
+    large = G.area(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")) >= 25
+    return r.join(marked, ["doc_id", "page_no", "rect_id"], "left").groupBy("doc_id", "color").agg(F.count("*").alias("n_rects"), F.count_if("hit").alias("n_text"), F.count_if(F.col("hit").isNull() & large).alias("n_image"))
+
+
+@query(both(X.SQL_DAMAGED) + r"""
+SELECT unicode(c) AS code, count(*) AS n FROM (SELECT unnest(regexp_extract_all(raw, '[\x00-\x08\x0b\x0c\x0e-\x1f]')) AS c FROM fx_damaged) GROUP BY ALL""")
+def control_char_census(spark, d):
+    c = X.damaged(spark, d).select(F.explode(F.regexp_extract_all("raw", F.lit("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]"), F.lit(0))).alias("c"))
+    return c.groupBy(F.ascii("c").alias("code")).agg(F.count("*").alias("n"))
+
+
+LEXICON = r"lex AS (SELECT text AS word FROM fx_words WHERE regexp_matches(text, '^[a-z]+$') GROUP BY text HAVING count(*) >= 3)"
+
+
+@query(both(X.SQL_WORDS, LEXICON) + "SELECT doc_id, count(*) AS n_known FROM (SELECT DISTINCT doc_id, lower(text) AS word FROM fx_words) JOIN lex USING (word) GROUP BY ALL")
+def distinct_word_lookup(spark, d):
+    w = X.words(spark, d)
+    lexicon = w.filter(F.col("text").rlike("^[a-z]+\\z")).groupBy(F.col("text").alias("word")).count().filter("count >= 3").select("word")
+    return w.select("doc_id", F.lower("text").alias("word")).distinct().join(lexicon, "word", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n_known"))
+
+
+@query(both(X.SQL_WORDS, LEXICON) + """
+SELECT lower(text) AS word, min_by(doc_id, doc_id * 1000000 + word_idx) AS doc_id, min_by(word_idx, doc_id * 1000000 + word_idx) AS word_idx, count(*) AS n
+FROM fx_words WHERE lower(text) NOT IN (SELECT word FROM lex) GROUP BY ALL""")
+def unresolved_first_context(spark, d):
+    w = X.words(spark, d)
+    lexicon = w.filter(F.col("text").rlike("^[a-z]+\\z")).groupBy(F.col("text").alias("word")).count().filter("count >= 3").select("word")
+    unknown = w.select("doc_id", "word_idx", F.lower("text").alias("word")).join(lexicon, "word", "left_anti")
+    return unknown.groupBy("word").agg(F.min(F.struct("doc_id", "word_idx")).alias("at"), F.count("*").alias("n")).select("word", "at.doc_id", "at.word_idx", "n")
+
+
+@query("""
+SELECT doc_id, string_agg(CAST(p AS VARCHAR), ',' ORDER BY CASE WHEN abs(p - hint) <= 3 THEN abs(p - hint) ELSE 4 END, p) AS pages
+FROM (SELECT doc_id, doc_id % (n_chars // 400 + 1) AS hint, unnest(range(n_chars // 400 + 1)) AS p FROM documents) GROUP BY doc_id""")
+def scan_order(spark, d):
+    n = F.expr("n_chars div 400 + 1")
+    return X.table(spark, d, "documents").select("doc_id", F.array_join(outputs.scan_order(F.col("doc_id") % n, n).cast("array<string>"), ",").alias("pages"))
+
+
+@query("""
+SELECT seq, scan_pos, score FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY (score >= 0.86) DESC, CASE WHEN score >= 0.86 THEN scan_pos END, score DESC, scan_pos) AS n
+FROM (SELECT o_custkey AS seq, o_orderkey AS scan_pos, (o_orderkey * 7919 % 97) / 100::DOUBLE AS score FROM orders)) WHERE n = 1""")
+def confident_pick(spark, d):
+    s = X.table(spark, d, "orders").select(F.col("o_custkey").alias("seq"), F.col("o_orderkey").alias("scan_pos"), F.expr("(o_orderkey * 7919 % 97) / 100D").alias("score"))
+    return outputs.confident_pick(s, ["seq"])
+
+
+@query("""
+SELECT reason, count(*) AS n FROM (SELECT b.item_id, CASE WHEN length(b.text) < 4 THEN 'context_too_short' WHEN count(d.doc_id) = 0 THEN 'no_candidate_windows' ELSE 'matched' END AS reason
+FROM benchmark b LEFT JOIN documents d ON contains(lower(d.text), lower(b.text)) GROUP BY b.item_id, b.text) GROUP BY ALL""")
+def failure_reason_histogram(spark, d):
+    needles = X.table(spark, d, "benchmark").select(F.col("item_id").alias("seq"), "text")
+    found = locate_exact(needles, X.table(spark, d, "documents")).select("seq").distinct().withColumn("hit", F.lit(True))
+    reason = F.when(F.length("text") < 4, "context_too_short").when(F.col("hit").isNull(), "no_candidate_windows").otherwise("matched")
+    return needles.join(found, "seq", "left").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT doc_id, count(*) FILTER (WHERE quality = 0) AS n_unmatched, count(*) FILTER (WHERE toxic = 1) AS n_unresolved,
+  CASE WHEN count(*) FILTER (WHERE quality = 0 OR toxic = 1) > 0 THEN 'needs_review' ELSE 'final' END AS status FROM labels GROUP BY doc_id""")
+def review_gate(spark, d):
+    return outputs.review_gate(X.table(spark, d, "labels").select("doc_id", (F.col("quality") == 0).alias("unmatched"), (F.col("toxic") == 1).alias("unresolved")))
+
+
+@query("""
+WITH e AS (SELECT conv_id AS doc_id, turn AS seq, role AS section, 'p.' || turn AS location, text, ['yellow','green','pink'][CAST(turn % 3 AS INT) + 1] AS color, turn % 5 = 4 AS is_image, turn % 4 <> 3 AS matched FROM conversations),
+l AS (SELECT doc_id, section, seq, CASE WHEN is_image THEN '- image highlight _(' || color || ')_ [' || location || ']'
+   ELSE CASE WHEN matched THEN '> ' ELSE '> [not mapped with confidence] ' END || text || CASE WHEN color <> 'yellow' THEN ' _(' || color || ')_' ELSE '' END || ' [' || location || ']' END AS line FROM e),
+p AS (SELECT doc_id, min(seq) AS first, '## ' || section || chr(10) || chr(10) || string_agg(line, chr(10) || chr(10) ORDER BY seq, line) || chr(10) AS part FROM l GROUP BY doc_id, section)
+SELECT doc_id, string_agg(part, chr(10) ORDER BY first, part) AS markdown FROM p GROUP BY doc_id""")
+def notes_markdown(spark, d):
+    color = F.element_at(F.array(F.lit("yellow"), F.lit("green"), F.lit("pink")), F.expr("int(turn % 3) + 1"))
+    e = X.table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), F.col("role").alias("section"), F.concat(F.lit("p."), F.col("turn")).alias("location"), "text", color.alias("color"), (F.col("turn") % 5 == 4).alias("is_image"), (F.col("turn") % 4 != 3).alias("matched"))
+    return outputs.notes(e)
+
+
+@query("""SELECT doc_id, rect_id, row_number() OVER (PARTITION BY doc_id ORDER BY n_end - n_start DESC, n_start, n_end, rect_id) AS nth FROM (SELECT l_orderkey AS doc_id, l_linenumber AS rect_id, l_partkey % 50 AS n_start, l_partkey % 50 + l_suppkey % 7 AS n_end FROM lineitem)""")
+def wrap_order(spark, d):
+    from pyspark.sql import Window
+
+    r = X.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("rect_id"), F.expr("l_partkey % 50").alias("s"), F.expr("l_partkey % 50 + l_suppkey % 7").alias("e"))
+    return r.select("doc_id", "rect_id", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc(F.col("e") - F.col("s")), "s", "e", "rect_id")).cast("long").alias("nth"))
+
+
+LABEL_SQL = r"""lab AS (SELECT page_id, html, lower(trim(regexp_replace(regexp_replace(regexp_replace(coalesce(nullif(trim(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)), ''), nullif(trim(regexp_extract(html, '(?is)<h2[^>]*>(.*?)</h2>', 1)), ''),
+ nullif(trim(regexp_extract(html, '(?is)<h3[^>]*>(.*?)</h3>', 1)), ''), nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), ''), 'page'), '<[^>]*>', '', 'g'), '\s*-\s*', '-', 'g'), '\s+', ' ', 'g'))) AS label FROM pages)"""
+
+
+def _labels(pages: DataFrame) -> DataFrame:
+    tags = [F.nullif(F.trim(F.regexp_extract("html", f"(?is)<{t}[^>]*>(.*?)</{t}>", 1)), F.lit("")) for t in ("h1", "h2", "h3", "title")]
+    return pages.select("page_id", T.normalize_text(F.regexp_replace(F.coalesce(*tags, F.lit("page")), "<[^>]*>", "")).alias("label"))
+
+
+@query(both(LABEL_SQL) + "SELECT page_id, substr(label, 1, 120) AS label FROM lab")
+def section_labels(spark, d):
+    return _labels(X.table(spark, d, "pages")).select("page_id", F.substring("label", 1, 120).alias("label"))
+
+
+@query(both(LABEL_SQL) + """, t AS (SELECT page_id, label, string_split(label, ' ')[-1] AS target FROM lab)
+SELECT page_id, label <> '' AND target <> '' AND (label = target OR ends_with(label, target) OR ends_with(target, label) OR contains(label, target)) AS matched FROM t""")
+def label_match(spark, d):
+    return _labels(X.table(spark, d, "pages")).select("page_id", T.label_matches(F.col("label"), F.element_at(F.split("label", " "), -1)).alias("matched"))
+
+
+@query(r"""
+WITH m AS (SELECT page_id, regexp_replace(regexp_replace(url, '^https?://', ''), '/(\d+)$', '/../\1') AS name FROM pages)
+SELECT page_id, CASE WHEN name = '' THEN 'empty' WHEN contains(name, chr(92)) THEN 'backslash' WHEN starts_with(name, '/') THEN 'absolute' WHEN regexp_matches(name, '^[A-Za-z]:') THEN 'drive'
+  WHEN regexp_matches(name, '(^|/)(\.|\.\.)?(/|$)') AND (regexp_matches(name, '(^|/)(\.|\.\.)(/|$)') OR contains(name, '//') OR name = '/') THEN 'parts' END AS error FROM m""")
+def member_validation(spark, d):
+    name = F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "/(\\d+)\\z", "/../$1")
+    return X.table(spark, d, "pages").select("page_id", outputs.member_error(name).alias("error"))
+
+
+@query(both(X.SQL_WORDS, X.SQL_RECTS) + """
+SELECT doc_id, rect_id, substr(sha256('{"color":"' || color || '","geometry":[' || CAST(x0 AS BIGINT) || ',' || CAST(y0 AS BIGINT) || ',' || CAST(x1 AS BIGINT) || ',' || CAST(y1 AS BIGINT)
+  || '],"kind":"text","page_index":' || page_no || ',"text":"line ' || rect_id || '"}'), 1, 32) AS annotation_key FROM fx_rects""")
+def stable_ids(spark, d):
+    box = F.array(*[F.col(c).cast("long") for c in ("x0", "y0", "x1", "y1")])
+    key = outputs.stable_key(F.lit("text"), F.col("page_no"), F.col("color"), F.concat(F.lit("line "), F.col("rect_id")), box)
+    return X.rects(X.words(spark, d)).select("doc_id", "rect_id", key.alias("annotation_key"))
+
+
+@query("SELECT doc_id, to_base64(encode(text)) AS payload FROM documents")
+def bookmark_payload(spark, d):
+    return X.table(spark, d, "documents").select("doc_id", F.replace(outputs.payload(F.col("text")), F.lit("\n"), F.lit("")).alias("payload"))
+
+
+@query("SELECT doc_id AS seq, text, lang AS color, CAST(n_chars % 7 AS INT) AS page_no FROM documents")
+def highlight_json_roundtrip(spark, d):
+    from spanloom.sources.highlights import decode, encode
+
+    h = X.table(spark, d, "documents").select(F.col("doc_id").alias("seq"), F.col("lang").alias("color"), "text", F.expr("int(n_chars % 7)").alias("page_no"), F.expr("array(double(0), double(1), double(2), double(3))").alias("bbox"))
+    return decode(encode(h)).select("seq", "text", "color", "page_no")
+
+
+@query(both(X.SQL_WORDS) + r""", p AS (SELECT doc_id, word_idx, lower(text) AS cur, lag(text) OVER (PARTITION BY doc_id ORDER BY word_idx) || '-' AS prev FROM fx_words)
+SELECT doc_id, word_idx, coalesce(regexp_matches(cur, '^\p{Ll}') AND lower(regexp_extract(prev, '([A-Za-zÀ-ɏ]+)-$', 1)) NOT IN ('in','out','buy','sell','call','put','long','short')
+  AND (length(regexp_extract(prev, '([A-Za-zÀ-ɏ]+)-$', 1)) >= 4 OR lower(regexp_extract(prev, '([A-Za-zÀ-ɏ]+)-$', 1)) = 'vol'
+       OR (length(regexp_extract(prev, '([A-Za-zÀ-ɏ]+)-$', 1)) >= 3 AND regexp_matches(regexp_extract(prev, '([A-Za-zÀ-ɏ]+)-$', 1), '^\p{Lu}'))), false) AS merged FROM p""")
+def hyphen_merges(spark, d):
+    from pyspark.sql import Window
+
+    w = X.words(spark, d).select("doc_id", "word_idx", F.lower("text").alias("cur"), F.concat(F.lag("text").over(Window.partitionBy("doc_id").orderBy("word_idx")), F.lit("-")).alias("prev"))
+    return w.select("doc_id", "word_idx", T.merges_hyphen(F.col("prev"), F.col("cur")).alias("merged"))
+
+
+@query("""
+SELECT item_id AS seq, '{"color":"yellow","page":' || (item_id % 9 + 1) || ',"raw_text":"' || replace(replace(replace(text, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n')
+  || '","repaired_text":"r","context_before":"","context_after":"","reason":"' || CASE WHEN item_id % 2 = 0 THEN 'no_fuzzy_match' ELSE 'unknown' END || '"' || CASE WHEN item_id % 3 > 0 THEN ',"candidate_count":' || (item_id % 3) ELSE '' END || '}' AS entry FROM benchmark""")
+def unmatched_entries(spark, d):
+    n = F.col("item_id")
+    f = X.table(spark, d, "benchmark").select(
+        n.alias("seq"), F.lit("yellow").alias("color"), (n % 9).alias("page_no"), F.col("text").alias("raw_text"), F.lit("r").alias("text"), F.lit("").alias("context_before"), F.lit("").alias("context_after"),
+        F.when(n % 2 == 0, "no_fuzzy_match").alias("reason"), (n % 3).alias("candidate_count"), F.lit(None).cast("double").alias("best_score"), F.lit("").alias("best_method"),
+    )
+    return outputs.unmatched_json(f)
