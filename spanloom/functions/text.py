@@ -8,22 +8,17 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spanloom.config import COMPOUND_PREFIXES
+from spanloom.config import COMPOUND_PREFIXES, CURLY, PLAIN
 
-# Quotes and dashes to ASCII, odd spaces to space, zero-width and soft hyphen away.
-CURLY = "‘’‚‛“”„‟–—−   ​­"
-PLAIN = "''''\"\"\"\"---   "
 SPACES = "   ​­"
 LETTER = "A-Za-zÀ-ɏ"
 
 
-@F.udf("string", useArrow=True)
-def _nfkc(s):
-    return None if s is None else unicodedata.normalize("NFKC", s)
-
-
 def nfkc(col: Column) -> Column:
-    return F.when(col.rlike("[^\\x00-\\x7f]"), _nfkc(col)).otherwise(col)
+    def form(s):
+        return None if s is None else unicodedata.normalize("NFKC", s)
+
+    return F.when(col.rlike("[^\\x00-\\x7f]"), F.udf(form, "string", useArrow=True)(col)).otherwise(col)
 
 
 def normalize_text(col: Column, compat: bool = True) -> Column:

@@ -334,3 +334,65 @@ def unmatched_entries(spark, d):
         F.when(n % 2 == 0, "no_fuzzy_match").alias("reason"), (n % 3).alias("candidate_count"), F.lit(None).cast("double").alias("best_score"), F.lit("").alias("best_method"),
     )
     return outputs.unmatched_json(f)
+
+
+@query("""
+WITH p AS (SELECT doc_id, unnest(s) AS part, unnest(range(len(s))) AS i, len(s) AS n FROM (SELECT doc_id, string_split(lower(text), 'the') AS s FROM documents)),
+q AS (SELECT doc_id, i, n, CAST(sum(length(part) + 3) OVER (PARTITION BY doc_id ORDER BY i) - 3 AS BIGINT) AS start FROM p)
+SELECT doc_id, i AS nth, start, start + 3 AS "end" FROM q WHERE i < n - 1 AND i < 8""")
+def literal_spans_topk(spark, d):
+    from spanloom.operators.place import spans_udf
+
+    found = X.table(spark, d, "documents").select("doc_id", F.posexplode(spans_udf("literal")("text", F.lit("the"))).alias("nth", "s"))
+    return found.select("doc_id", F.col("nth").cast("long").alias("nth"), F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"))
+
+
+@query(r"""
+WITH t AS (SELECT conv_id, turn, regexp_extract(lower(text), '([a-z]{6,})', 1) AS needle, text FROM conversations)
+SELECT conv_id, turn, length(needle) >= 6 AS found FROM t""")
+def line_hyphen_spans(spark, d):
+    from spanloom.operators.place import spans_udf
+
+    t = X.table(spark, d, "conversations").select("conv_id", "turn", F.regexp_extract(F.lower("text"), "([a-z]{6,})", 1).alias("needle"), "text")
+    cut = F.concat(F.substring("needle", 1, 3), F.lit("- "), F.substring(F.col("needle"), 4, 1000))
+    return t.select("conv_id", "turn", (F.size(spans_udf("line_hyphen")(F.concat(F.lit("a "), cut, F.lit(" z")), "needle")) > 0).alias("found"))
+
+
+@query()
+def similarity_ratio(spark, d):
+    from spanloom.operators.place import similarity
+
+    t = X.damaged(spark, d)
+    first = lambda c: F.element_at(F.split(c, "\n"), 1)
+    return t.select("doc_id", F.round(similarity(first("text"), first("raw")), 6).alias("ratio"))
+
+
+@query("SELECT doc_id, true AS found FROM documents")
+def flexible_regex(spark, d):
+    from spanloom.operators.place import spans_udf
+
+    first = lambda c: F.element_at(F.split(c, "\n"), 1)
+    return X.damaged(spark, d).select("doc_id", (F.size(spans_udf("flexible")(first("text"), first("raw"))) > 0).alias("found"))
+
+
+@query()
+def repair_words(spark, d):
+    from spanloom.operators.place import repair
+
+    w = X.words(spark, d)
+    lexicon = w.filter(F.col("text").rlike("^[a-z]+\\z")).groupBy(F.col("text").alias("word")).count().filter("count >= 3").select("word")
+    out = repair(X.damaged(spark, d).select("doc_id", "raw"), lexicon, text="raw")
+    return out.select("doc_id", F.length("repaired").alias("n_chars"), F.size("unresolved").alias("n_unresolved"))
+
+
+@query()
+def place_pages(spark, d):
+    """Benchmark passages placed in the documents that hold them, page by page."""
+    from spanloom.operators.place import place
+
+    docs, w = X.table(spark, d, "documents"), X.words(spark, d)
+    needles = X.table(spark, d, "benchmark").select(F.col("item_id").alias("seq"), "text")
+    found = locate_exact(needles, docs).select("doc_id", "seq").join(F.broadcast(needles), "seq")
+    h = found.select("doc_id", "seq", "text", F.col("text").alias("raw_text"), F.lit("").alias("context_before"), F.lit("").alias("context_after"), F.lit(0).alias("page_no"))
+    pages = marks.page_text(w.join(found.select("doc_id").distinct(), "doc_id", "left_semi")).select("doc_id", F.col("page_no").cast("int").alias("container"), "norm_text")
+    return place(h, pages).select("doc_id", "seq", "container", "start", "end", F.round("score", 6).alias("score"), "method", "reason")
