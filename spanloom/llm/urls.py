@@ -151,7 +151,7 @@ def _by_join(urls: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     suffix = F.array(*[F.when(F.size(label) >= n, F.array_join(F.slice(label, F.size(label) - n + 1, n), ".")) for n in labels])
     prefix = F.array(*[F.when(F.length("path") >= n, F.substring(F.col("path"), 1, n)) for n in lengths])
     probes = urls.filter("host <> ''").select("uid", F.explode(F.array_compact(suffix)).alias("s"), F.array_compact(prefix).alias("ps"))
-    probes = probes.select("uid", F.concat("s", F.explode("ps")).alias("rule"))
+    probes = probes.select("uid", "s", F.explode("ps").alias("p")).select("uid", F.concat("s", "p").alias("rule"))
     best = probes.join(keyed, "rule").groupBy("uid").agg(F.max(F.struct(F.length("rule").alias("n"), "rule_host", "rule", "verdict")).alias("b"))
     return urls.join(best, "uid", "left").select("id", "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"))
 
