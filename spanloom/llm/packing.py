@@ -148,14 +148,15 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
 
 
 def _patterns(left, capacity: int, per_length: int, rng) -> list[tuple[int, ...]]:
-    """Patterns of two to four present lengths that sum to the capacity."""
+    """Patterns of two present lengths that sum to the capacity; with ``per_length`` of three and
+    four as well, so many for each length."""
     import numpy as np
 
     have = np.flatnonzero(left)
     found = {(a, capacity - a) for a in have.tolist() if a <= capacity - a and left[capacity - a]}
     weight = left[have] / left[have].sum()
     for a in have.tolist():
-        for b in rng.choice(have, per_length, p=weight).tolist():
+        for b in rng.choice(have, per_length, p=weight).tolist() if per_length else ():
             c = capacity - a - b
             if c > 0 and left[c]:
                 found.add(tuple(sorted((a, b, c))))
@@ -166,19 +167,21 @@ def _patterns(left, capacity: int, per_length: int, rng) -> list[tuple[int, ...]
 
 
 def _fit(patterns: list[tuple[int, ...]], left, capacity: int):
-    """Repeat counts x >= 0 that minimise |A x - left|^2, by accelerated projected gradients."""
+    """Repeat counts x >= 0 that minimise |W (A x - left)|^2 by accelerated projected gradients; W
+    weighs lengths by their share of the capacity, as long pieces are the hard ones to place."""
     import numpy as np
 
     owner = np.repeat(np.arange(len(patterns)), [len(p) for p in patterns])
     item = np.fromiter((i for p in patterns for i in p), np.int64)
     n = len(patterns)
-    degree = np.bincount(item, minlength=capacity + 1)
-    step = 1.0 / max(np.bincount(owner, weights=degree[item]).max() * 1.0, 1.0)
+    weight = (np.arange(capacity + 1) / capacity) ** 2
+    degree = np.bincount(item, minlength=capacity + 1) * weight
+    step = 1.0 / max(np.bincount(owner, weights=degree[item]).max(), 1e-9)
     x = y = np.zeros(n)
     mom = 1.0
     for _ in range(STEPS):
-        residual = np.bincount(item, weights=y[owner], minlength=capacity + 1) - left
-        new = np.maximum(y - step * 4 * np.bincount(owner, weights=residual[item], minlength=n) / 4, 0)
+        residual = weight * (np.bincount(item, weights=y[owner], minlength=capacity + 1) - left)
+        new = np.maximum(y - step * np.bincount(owner, weights=residual[item], minlength=n), 0)
         nm = (1 + np.sqrt(1 + 4 * mom * mom)) / 2
         y = new + (mom - 1) / nm * (new - x)
         x, mom = new, nm
@@ -236,30 +239,33 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list
         out.append(([(capacity, 1)], int(left[capacity])))
         left[capacity] = 0
     rng = np.random.default_rng(7)
-    for _ in range(PASSES):
+    best: tuple[int, list] | None = None
+    for nth in range(PASSES):
         if not left.any():
             break
-        patterns = _patterns(left, capacity, PATTERNS_PER_LENGTH, rng)
-        if not patterns:
-            break
-        x = _fit(patterns, left, capacity)
+        patterns = _patterns(left, capacity, PATTERNS_PER_LENGTH if nth else 0, rng)
+        x = _fit(patterns, left, capacity) if patterns else np.empty(0)
         placed = 0
-        for i in np.argsort(-x, kind="stable").tolist():
-            r = int(round(x[i]))
-            if r <= 0:
-                break
+        # Patterns round the longest pieces first: those have the fewest partners.
+        for i in sorted(np.flatnonzero(np.round(x) > 0).tolist(), key=lambda i: (-patterns[i][-1], len(patterns[i]), -x[i])):
             need: dict[int, int] = {}
             for size in patterns[i]:
                 need[size] = need.get(size, 0) + 1
-            r = min(r, *(int(left[size]) // k for size, k in need.items()))
+            r = min(int(round(x[i])), *(int(left[size]) // k for size, k in need.items()))
             if r > 0:
                 out.append((sorted(need.items(), reverse=True), r))
                 for size, k in need.items():
                     left[size] -= r * k
                 placed += r
-        if not placed:
+        # Exact patterns can use up the pieces that others need: the pass after which patterns and
+        # packed residual are fewest together is the last.
+        whole = out + best_fit(left, capacity)
+        count = sum(n for _, n in whole)
+        if best is None or count < best[0]:
+            best = (count, whole)
+        if not placed and nth:
             break
-    return out + best_fit(left, capacity)
+    return best[1] if best else out
 
 
 class Slots:
