@@ -16,7 +16,7 @@ the requests. Requests are distinct within a batch, so frequent words are no hot
 with very many tokens is cut over several buckets, and its sums are added. Bigram counts and
 backoff weights are tables partitioned by bucket. Sizes: a bucket gets about BUCKET requests.
 
-Words are known by 64-bit hashes, bigrams within their bucket by 48 bits.
+Words are known by 64-bit hashes; within their bucket contexts and bigrams go by 48 bits.
 
 Edge cases: a null, empty or blank text is one end token. A null id counts as the empty string
 for the split, which makes it held out. Repeated rows are counted and scored each. Without
@@ -56,17 +56,32 @@ def _words() -> Words:
 
 
 def planes(x) -> bytes:
-    """Integers as planes of bytes: high bytes are mostly zero and compress away."""
+    """Integers as compressed planes of bytes: high bytes are mostly zero."""
     import numpy as np
 
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    return zlib.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T), 1)
 
 
 def unplanes(b: bytes, kind):
     import numpy as np
 
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(b), np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def six(x) -> bytes:
+    """The low 48 bits of each integer."""
+    import numpy as np
+
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def unsix(b: bytes):
+    import numpy as np
+
+    out = np.zeros((len(b) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
 
 
 def row(batch: int, bucket: int, kind: int, ids=None, **blobs) -> dict:
@@ -109,7 +124,7 @@ def held_out(doc_id: int | None) -> bool:
 
 def gather(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """Batches of documents: lengths (a), training flags (b), places of the tokens among the
-    batch's distinct words (c), those words' hashes, sorted (d), their training counts (e)."""
+    batch's distinct words, frequent ones first (c), those words' hashes (d), their training counts (e)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -125,8 +140,12 @@ def gather(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
             lens = np.array([len(x) for x in arrays], np.uint32)
             train = np.array([not held_out(i) for i in ids], np.uint8)
             words, at = np.unique(np.concatenate(arrays), return_inverse=True)
+            order = np.argsort(-np.bincount(at, minlength=len(words)), kind="stable")  # small numbers for frequent words
+            rank = np.empty(len(words), np.uint32)
+            rank[order] = np.arange(len(words), dtype=np.uint32)
+            words, at = words[order], rank[at]
             counts = np.bincount(at, weights=np.repeat(train, lens), minlength=len(words)).astype(np.uint32)
-            tokens = zlib.compress(planes(at.astype(np.uint32)), 1)
+            tokens = planes(at)
             return emit([row(base + nth, 0, DOCS, ids, a=lens.tobytes(), b=train.tobytes(), c=tokens, d=words.tobytes(), e=planes(counts))])
 
         for b in batches:
@@ -241,14 +260,14 @@ class Unigrams:
 class Batch:
     """One batch's distinct bigrams and the parts of its requests, in a fixed order."""
 
-    def __init__(self, group: list[dict], word_buckets: int, buckets: int, hot: int):
+    def __init__(self, group: list[dict], word_buckets: int, buckets: int, hot: int, split: int):
         import numpy as np
 
         docs = group[0]
         self.ids, self.batch = docs["ids"], docs["batch"]
         self.lens = np.frombuffer(docs["a"], np.uint32).astype(np.int64)
         self.train = np.frombuffer(docs["b"], np.uint8)
-        self.tokens = unplanes(zlib.decompress(docs["c"]), np.uint32).astype(np.int64)
+        self.tokens = unplanes(docs["c"], np.uint32)
         words = np.frombuffer(docs["d"], np.uint64)
         where = (words % np.uint64(word_buckets)).astype(np.int64)
         counts = [unplanes(r["a"], np.uint64) for r in group if r["kind"] == WORD_ANSWER]
@@ -260,21 +279,23 @@ class Batch:
         before[starts] = self.tokens[starts + self.lens - 1]  # every document ends in the end token
         self.before = before
         n = len(words)
-        pairs, self.at = np.unique(before * n + self.tokens, return_inverse=True)
-        self.w1, self.w2 = pairs // n, pairs % n
+        pairs, at = np.unique(before.astype(np.int64) * n + self.tokens, return_inverse=True)
+        self.at = at.astype(np.int32)
+        self.w1, self.w2 = (pairs // n).astype(np.int32), (pairs % n).astype(np.int32)
+        del pairs, at
         h1, h2 = words[self.w1], words[self.w2]
         u = np.uint64
         with np.errstate(over="ignore"):
-            splits = np.where(self.count[self.w1] > hot, -(-self.count[self.w1] // HOT_TOKENS), 1).astype(u)
-            self.home = (mix(h1 + (mix(h2 + u(9)) % splits) * u(0x9E3779B97F4A7C15)) % u(buckets)).astype(np.int64)
-            self.order = np.argsort(self.home, kind="stable")  # by bucket, then context
-            o = self.order
-            key = mix(h1 * u(0x9E3779B97F4A7C15) + mix(h2)) >> u(16)
-        self.cuts = np.searchsorted(self.home[o], np.arange(buckets + 1))
-        self.key, self.h1 = key[o], h1[o]
-        new = np.ones(len(o), bool)
-        new[1:] = (self.home[o][1:] != self.home[o][:-1]) | (self.w1[o][1:] != self.w1[o][:-1])
-        self.new = new
+            splits = np.where(self.count[self.w1] > hot, -(-self.count[self.w1] // split), 1).astype(u)
+            home = (mix(h1 + (mix(h2 + u(9)) % splits) * u(0x9E3779B97F4A7C15)) % u(buckets)).astype(np.int32)
+            del splits
+            o = self.order = np.argsort(home, kind="stable").astype(np.int32)  # by bucket, then context
+            self.key = (mix(h1 * u(0x9E3779B97F4A7C15) + mix(h2)) >> u(16))[o]
+            del h2
+        home, self.h1, w1 = home[o], mix(h1)[o], self.w1[o]
+        self.cuts = np.searchsorted(home, np.arange(buckets + 1))
+        self.new = np.ones(len(o), bool)
+        self.new[1:] = (home[1:] != home[:-1]) | (w1[1:] != w1[:-1])
 
     def requests(self) -> list[dict]:
         import numpy as np
@@ -289,8 +310,7 @@ class Batch:
                 continue
             starts = np.flatnonzero(self.new[s])
             runs = np.diff(np.append(starts, s.stop - s.start))
-            key = np.ascontiguousarray(self.key[s].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-            out.append(row(self.batch, k, REQUEST, a=self.h1[s][starts].tobytes(), b=planes(runs.astype(np.uint32)), c=planes(c1[s][starts].astype(np.uint64)), d=key, e=planes(seen[s]), f=planes(c2[s].astype(np.uint64))))
+            out.append(row(self.batch, k, REQUEST, a=six(self.h1[s][starts]), b=planes(runs.astype(np.uint32)), c=planes(c1[s][starts].astype(np.uint64)), d=six(self.key[s]), e=planes(seen[s]), f=planes(c2[s].astype(np.uint64))))
         return out
 
 
@@ -300,23 +320,21 @@ def count_pairs(group: list[dict]) -> list[dict]:
     import numpy as np
 
     k = group[0]["bucket"]
-    h1 = [np.frombuffer(r["a"], np.uint64) for r in group]
+    h1 = [unsix(r["a"]) for r in group]
     runs = [unplanes(r["b"], np.uint32) for r in group]
     contexts, place = np.unique(np.concatenate(h1), return_inverse=True)
-    raw = np.concatenate([np.frombuffer(r["d"], np.uint8).reshape(-1, 6) for r in group])
-    key = np.zeros((len(raw), 8), np.uint8)
-    key[:, :6] = raw
-    keys, first, at = np.unique(key.view(np.uint64).ravel(), return_index=True, return_inverse=True)
-    del key, raw
+    _, first, at = np.unique(np.concatenate([unsix(r["d"]) for r in group]), return_index=True, return_inverse=True)
     total = np.bincount(at, weights=np.concatenate([unplanes(r["e"], np.uint32) for r in group])).astype(np.uint32)
     c1 = np.zeros(len(contexts), np.uint64)
     c1[place] = np.concatenate([unplanes(r["c"], np.uint64) for r in group])
     owner = np.repeat(place, np.concatenate(runs))[first].astype(np.uint32)
     c2 = np.concatenate([unplanes(r["f"], np.uint64) for r in group])[first]
-    seen = total > 0
+    seen = np.flatnonzero(total)
+    seen = seen[np.argsort(owner[seen], kind="stable")]  # by context, so that only their numbers are kept
+    size = np.bincount(owner[seen], minlength=len(contexts)).astype(np.uint32)
     out = [
-        row(-1, k, STATS, a=np.array([int(total.sum()), int(seen.sum()), *counts_of_counts(total)], np.int64).tobytes()),
-        row(-1, k, MODEL, a=contexts.tobytes(), b=planes(c1), c=planes(owner[seen]), d=planes(total[seen]), e=planes(c2[seen])),
+        row(-1, k, STATS, a=np.array([int(total.sum()), len(seen), *counts_of_counts(total)], np.int64).tobytes()),
+        row(-1, k, MODEL, a=six(contexts), b=planes(c1), c=planes(size), d=planes(total[seen]), e=planes(c2[seen])),
     ]
     lo = hi = 0
     for r, h, n in zip(group, h1, runs, strict=True):
@@ -348,8 +366,8 @@ def weigh(discount, uni: Unigrams, hot: int) -> Callable[[list[dict]], list[dict
 
         m = group[0]
         assert m["kind"] == MODEL
-        h1, c1 = np.frombuffer(m["a"], np.uint64), unplanes(m["b"], np.uint64)
-        owner, total = unplanes(m["c"], np.uint32), unplanes(m["d"], np.uint32)
+        h1, c1 = unsix(m["a"]), unplanes(m["b"], np.uint64)
+        owner, total = np.repeat(np.arange(len(h1)), unplanes(m["c"], np.uint32)), unplanes(m["d"], np.uint32)
         used = np.bincount(owner, weights=discount[np.minimum(total, K + 1)] * total, minlength=len(h1))
         mass = np.bincount(owner, weights=uni.p(unplanes(m["e"], np.uint64)), minlength=len(h1))
         alpha = alphas(c1, used, mass)
@@ -386,7 +404,7 @@ def hot_alphas(df: DataFrame) -> dict[int, float]:
 OUT = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_docs(df: DataFrame, word_buckets: int, buckets: int, hot: int, uni: Unigrams, discount, hot_alpha: dict[int, float]) -> DataFrame:
+def score_docs(df: DataFrame, word_buckets: int, buckets: int, hot: int, split: int, uni: Unigrams, discount, hot_alpha: dict[int, float]) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast((uni, discount, hot_alpha))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,13 +412,13 @@ def score_docs(df: DataFrame, word_buckets: int, buckets: int, hot: int, uni: Un
 
         uni, discount, hot_alpha = shared.value
         for group in grouped(batches, "batch"):
-            b = Batch(group, word_buckets, buckets, hot)
+            b = Batch(group, word_buckets, buckets, hot, split)
             answers = [r for r in group if r["kind"] == PAIR_ANSWER]
             c12 = np.concatenate([unplanes(r["a"], np.uint32) for r in answers]).astype(np.float64)
             runs = np.concatenate([unplanes(r["c"], np.uint32) for r in answers])
             alpha = np.repeat(np.concatenate([np.frombuffer(r["b"]) for r in answers]), runs)
             for i in np.flatnonzero(np.isnan(alpha)):
-                alpha[i] = hot_alpha[int(b.h1[i].astype(np.int64))]
+                alpha[i] = hot_alpha[int(b.h1[i] & np.uint64((1 << 48) - 1))]
             o = b.order
             c1 = b.count[b.w1][o].astype(np.float64)
             p2 = uni.p(b.count[b.w2][o])
@@ -425,7 +443,7 @@ def score_docs(df: DataFrame, word_buckets: int, buckets: int, hot: int, uni: Un
     return dealt.mapInArrow(run, OUT)
 
 
-def katz_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: int = BATCH, bucket: int = BUCKET) -> DataFrame:
+def katz_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: int = BATCH, bucket: int = BUCKET, hot_tokens: int = HOT_TOKENS) -> DataFrame:
     """One row per row of ``df``: (id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
     docs = write_table(gather(df, id_col, text_col, batch), "katz-batches")
     sizes = docs.select(F.sum(F.length("d") / 8).cast("long"), F.sum(F.aggregate("ids", F.lit(0).cast("long"), lambda s, _: s + 1))).first()
@@ -435,18 +453,18 @@ def katz_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     words = write_table(staged(ask_words(docs, word_buckets), "bucket", answer_words), "katz-words")
     stats = statistics(words)
     uni = Unigrams(stats)
-    hot = max(HOT_TOKENS, stats[0] // HOT_SHARE)
+    hot = max(hot_tokens, stats[0] // HOT_SHARE)
     # Distinct bigrams of a batch are about two thirds of its tokens; held-out ones add a tenth.
     buckets = max(1, round(0.75 * max(stats[0], 1) / bucket))
     answers = words.filter(F.col("kind") == WORD_ANSWER)
-    asked = staged(docs.unionByName(answers), "batch", lambda g: Batch(g, word_buckets, buckets, hot).requests())
+    asked = staged(docs.unionByName(answers), "batch", lambda g: Batch(g, word_buckets, buckets, hot, hot_tokens).requests())
     model = write_table(staged(asked, "bucket", count_pairs), "katz-pairs")
     discount = discounts(statistics(model)[2:])
     found = write_table(staged(model.filter(F.col("kind").isin(MODEL, REQUEST)), "bucket", weigh(discount, uni, hot)), "katz-answers")
     hot_alpha = hot_alphas(found)
     drop_table(model)
     whole = docs.unionByName(answers).unionByName(found.filter(F.col("kind") == PAIR_ANSWER))
-    return score_docs(whole, word_buckets, buckets, hot, uni, discount, hot_alpha).withColumnRenamed("id", id_col)
+    return score_docs(whole, word_buckets, buckets, hot, hot_tokens, uni, discount, hot_alpha).withColumnRenamed("id", id_col)
 
 
 def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:

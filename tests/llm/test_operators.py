@@ -123,6 +123,8 @@ def test_katz_is_normalised_and_exact(spark):
     for i, t in tokens.items():
         assert got[i].score == pytest.approx(sum(np.log10(p2(a, b)) for a, b in zip([t[-1], *t[:-1]], t)))
         assert got[i].n_tokens == len(t) and got[i].n_known == sum(w in c for w in t) and got[i].train_tokens == n
+    hot = {r.doc_id: r.score for r in katz.katz_scores(df, batch=50, bucket=20, hot_tokens=30).collect()}
+    assert all(hot[i] == pytest.approx(got[i].score) for i in got)
     assert katz.katz_scores(df.filter("doc_id < 0")).count() == 0
 
 
