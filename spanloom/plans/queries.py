@@ -396,3 +396,46 @@ def place_pages(spark, d):
     h = found.select("doc_id", "seq", "text", F.col("text").alias("raw_text"), F.lit("").alias("context_before"), F.lit("").alias("context_after"), F.lit(0).alias("page_no"))
     pages = marks.page_text(w.join(found.select("doc_id").distinct(), "doc_id", "left_semi")).select("doc_id", F.col("page_no").cast("int").alias("container"), "norm_text")
     return place(h, pages).select("doc_id", "seq", "container", "start", "end", F.round("score", 6).alias("score"), "method", "reason")
+
+
+@query()
+def html_text_map(spark, d):
+    """Normal text and label of every page, read as markup."""
+    import hashlib
+
+    def run(frames):
+        from spanloom.functions.markup import Section
+
+        for f in frames:
+            made = [Section.read((h or "").encode()) for h in f["html"]]
+            yield f[["page_id"]].assign(label=[s.label for s in made], n_chars=[len(s.norm) for s in made], norm_sha256=[hashlib.sha256(s.norm.encode()).hexdigest() for s in made])
+
+    return X.table(spark, d, "pages").select("page_id", "html").mapInPandas(run, "page_id long, label string, n_chars long, norm_sha256 string")
+
+
+def _books(spark, d):
+    from spanloom.sources.packages import single_section
+
+    made = F.udf(lambda html: single_section("", html), "binary", useArrow=True)
+    return X.table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), made(F.coalesce("html", F.lit(""))).alias("content"))
+
+
+@query()
+def book_sections(spark, d):
+    """Every page packed as a book, read again section by section."""
+    from spanloom.sources.packages import sections
+
+    return sections(_books(spark, d))
+
+
+@query()
+def annotate_books(spark, d):
+    """Every page packed as a book; its label and its shortest stretch of 20 characters or more are highlighted."""
+    from spanloom.operators.books import annotate
+
+    pages = _labels(X.table(spark, d, "pages")).join(X.table(spark, d, "pages").select("page_id", F.regexp_replace("html", "<[^>]*>", "\n").alias("plain")), "page_id")
+    lines = F.array_sort(F.transform(F.split("plain", "\n"), lambda t: F.struct((-F.length(F.trim(t))).alias("n"), F.trim(t).alias("t"))))
+    wanted = F.array(F.struct(F.lit("green").alias("color"), F.col("label").alias("text")), F.struct(F.lit("yellow").alias("color"), F.coalesce(F.get(lines, F.lit(0))["t"], F.lit("")).alias("text")))
+    h = pages.select(F.col("page_id").alias("doc_id"), F.posexplode(wanted).alias("seq", "w")).select("doc_id", F.col("seq").cast("long").alias("seq"), "w.color", "w.text", F.col("w.text").alias("raw_text"), F.lit("").alias("context_before"), F.lit("").alias("context_after"), F.lit(False).alias("is_image"))
+    out = annotate(h, _books(spark, d))
+    return out.select("doc_id", "seq", "section", "start", "end", F.round("score", 6).alias("score"), "matched_text", "method", "start_path", "end_path", "reason", F.sha2("content", 256).alias("content_sha256"))
