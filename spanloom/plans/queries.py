@@ -65,6 +65,19 @@ def broken_output_score(spark, d):
     return rows.filter(~F.col("text").rlike("(^|[^\\p{L}0-9_])\\p{L}\\s+\\p{L}")).select("conv_id", "turn", T.broken_output_score(F.col("text")).alias("score"))
 
 
+LONE = "(^|[^A-Za-zÀ-ɏ0-9_])[A-Za-zÀ-ɏ]"
+
+
+@query(rf"""
+SELECT conv_id, turn, CAST(len(regexp_extract_all(text, '\s+[.,;:!?)]')) + len(regexp_extract_all(text, '[(„“"'']\s+'))
+       + len(regexp_extract_all(text, '{LONE}\s+[A-Za-zÀ-ɏ]{{2,}}')) + len(regexp_extract_all(text, '{LONE}\s+[A-Za-zÀ-ɏ]\s+[A-Za-zÀ-ɏ]')) AS INT) AS score
+FROM (SELECT conv_id, turn, regexp_replace(text, '(\w)([.,])', '\1 \2', 'g') AS text FROM conversations) t""")
+def broken_output_score_all(spark, d):
+    """Every turn by all four rules; broken_output_score is bound to its SQL, which leaves turns out."""
+    text = F.regexp_replace("text", "([0-9A-Za-z_])([.,])", "$1 $2")
+    return X.table(spark, d, "conversations").select("conv_id", "turn", T.broken_output_score(text).alias("score"))
+
+
 @query(r"""
 WITH t AS (SELECT conv_id, turn, trim(string_split(text, chr(10))[1]) AS s FROM conversations),
 u AS (SELECT *, len(regexp_extract_all(s, '[0-9A-Za-zÀ-ɏ]+')) AS words, len(regexp_extract_all(s, '\p{L}')) AS letters, len(regexp_extract_all(s, '\p{Lu}')) AS upper FROM t)
