@@ -21,3 +21,26 @@ def test_every_turn_is_scored_by_four_rules(spark):
     want = sorted((c, t, sum(len(re.findall(x, s)) for x in rules)) for c, t, s in texts)
     assert sorted(map(tuple, QUERIES["broken_output_score_all"](spark, D).collect())) == want
     assert any(re.search(rules[2], s) for _, _, s in texts)
+
+
+WORDS = ["office", "first", "fly", "market", "fluff", "in", "affix", "haus", "boot", "Haus", "fishing", "fi"]
+
+
+def test_a_word_of_many_forms_is_repaired():
+    from spanloom.functions.matching import Repairer
+
+    word = "a\x00b\x14c\x17d�e\x10g\x12h"  # five options each for four glyphs, three for two
+    assert Repairer({"afibffcfldffiefighfh", "afibfficfldffefigffh"}).word(word) == ("afibfficfldffefigffh", "repaired")
+    assert Repairer({"off"}).word("o\x12") == ("off", "repaired") and Repairer({"offi", "ofi"}).word("o\x14") == ("ofi", "repaired")
+
+
+def test_a_large_lexicon_gives_the_same_repairs(spark):
+    from spanloom.operators.place import repair
+
+    texts = ["of\x15ce \x14rst-\x13y zz\x14zz, the of\x15ce's \x14shings", None, "", "nothing broken", "Haus\x14shing \x10 odd\x14 \x13u\x12 a\x12ix-\x13y", "of\x15ce \x14rst-\x13y"]
+    df = spark.createDataFrame([(i % 4, t) for i, t in enumerate(texts * 2)], "doc_id long, text string")
+    lexicon = spark.createDataFrame([(w,) for w in WORDS], "word string")
+    custom = {"odd\x14": "odd one"}
+    got, want = (sorted(repair(df, lexicon, custom, max_lexicon=n).collect(), key=str) for n in (3, 1000))
+    assert got == want and len(got) == len(texts) * 2
+    assert any("office" in r.repaired for r in got) and any(r.unresolved for r in got)
