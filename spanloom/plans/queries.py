@@ -88,6 +88,18 @@ def heading_like(spark, d):
     return X.table(spark, d, "conversations").select("conv_id", "turn", T.heading_like(first_line).alias("heading"))
 
 
+@query(r"""
+WITH l AS (SELECT conv_id, turn, string_split(text, chr(10)) AS lines FROM conversations),
+t AS (SELECT conv_id, turn, CAST(unnest(range(len(lines))) AS INT) AS line, trim(unnest(lines)) AS s FROM l),
+u AS (SELECT *, len(regexp_extract_all(s, '[0-9A-Za-zÀ-ɏ]+')) AS words, len(regexp_extract_all(s, '\p{L}')) AS letters, len(regexp_extract_all(s, '\p{Lu}')) AS upper FROM t)
+SELECT conv_id, turn, line, length(s) BETWEEN 1 AND 120 AND NOT regexp_matches(s, '[.!?;,]$') AND words BETWEEN 2 AND 12 AND letters > 0
+       AND (upper / greatest(letters, 1) >= 0.72 OR NOT regexp_matches(s, '(^|\s)[^\s0-9\p{Lu}]')) AS heading FROM u""")
+def heading_like_lines(spark, d):
+    """Every line of every turn; heading_like is bound to its SQL, which reads the first line."""
+    rows = X.table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n", -1)).alias("line", "s"))
+    return rows.select("conv_id", "turn", "line", T.heading_like(F.col("s")).alias("heading"))
+
+
 @query(r"""
 SELECT doc_id, CASE WHEN regexp_matches(text, '^[\p{L}\p{N}"“‘(\[]') THEN 0.5::DOUBLE ELSE 0 END
              + CASE WHEN regexp_matches(text, '[\p{L}\p{N}.!?"”’)*\]]\z') THEN 0.5::DOUBLE ELSE 0 END AS score FROM documents""")
@@ -371,21 +383,27 @@ def line_hyphen_spans(spark, d):
     return t.select("conv_id", "turn", (F.size(spans_udf("line_hyphen")(F.concat(F.lit("a "), cut, F.lit(" z")), "needle")) > 0).alias("found"))
 
 
+def _line_pairs(t: DataFrame) -> DataFrame:
+    """Damage leaves line breaks as they are, so lines pair by number."""
+    lines = lambda c: F.split(F.coalesce(c, F.lit("")), "\n", -1)
+    return t.select(*(c for c in t.columns if c not in ("text", "raw")), F.posexplode(F.arrays_zip(lines(F.col("text")).alias("text"), lines(F.col("raw")).alias("raw"))).alias("line", "p"))
+
+
 @query()
 def similarity_ratio(spark, d):
     from spanloom.operators.place import similarity
 
-    t = X.damaged(spark, d)
-    first = lambda c: F.element_at(F.split(c, "\n"), 1)
-    return t.select("doc_id", F.round(similarity(first("text"), first("raw")), 6).alias("ratio"))
+    t = _line_pairs(X.damaged(spark, d))
+    return t.select("doc_id", "line", F.round(similarity(F.col("p.text"), F.col("p.raw")), 6).alias("ratio"))
 
 
 @query("SELECT doc_id, true AS found FROM documents")
 def flexible_regex(spark, d):
     from spanloom.operators.place import spans_udf
 
-    first = lambda c: F.element_at(F.split(c, "\n"), 1)
-    return X.damaged(spark, d).select("doc_id", (F.size(spans_udf("flexible")(first("text"), first("raw"))) > 0).alias("found"))
+    t = _line_pairs(X.damaged(spark, d).withColumn("row", F.monotonically_increasing_id())).select("doc_id", "row", "p.text", "p.raw")
+    hit = (F.trim("raw") == "") | (F.size(spans_udf("flexible")("text", "raw")) > 0)
+    return t.groupBy("doc_id", "row").agg(F.bool_and(hit).alias("found")).drop("row")
 
 
 @query()

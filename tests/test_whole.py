@@ -44,3 +44,29 @@ def test_a_large_lexicon_gives_the_same_repairs(spark):
     got, want = (sorted(repair(df, lexicon, custom, max_lexicon=n).collect(), key=str) for n in (3, 1000))
     assert got == want and len(got) == len(texts) * 2
     assert any("office" in r.repaired for r in got) and any(r.unresolved for r in got)
+
+
+def made(spark, path, **tables_):
+    for name, (rows, schema) in tables_.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{path}/{name}.parquet")
+    return str(path)
+
+
+def test_every_line_takes_part(spark, tmp_path):
+    docs = [(1, "plain words\nan office, first-rate\n\nand fly"), (2, "one line"), (3, None)]
+    turns = [(1, 0, "hello there, you.\nGeneral Remarks\nmore text follows here."), (1, 1, "General Remarks")]
+    d = made(spark, tmp_path, documents=(docs, "doc_id long, text string"), conversations=(turns, "conv_id long, turn long, text string"))
+    got = {(r.doc_id, r.line): r.ratio for r in QUERIES["similarity_ratio"](spark, d).collect()}
+    assert len(got) == 6 and got[1, 0] == 1.0 and got[1, 1] < 1.0 and got[1, 3] < 1.0
+    lines = {(r.conv_id, r.turn, r.line): r.heading for r in QUERIES["heading_like_lines"](spark, d).collect()}
+    assert lines == {(1, 0, 0): False, (1, 0, 1): True, (1, 0, 2): False, (1, 1, 0): True}
+    assert {r.doc_id: r.found for r in QUERIES["flexible_regex"](spark, d).collect()} == {1: True, 2: True, 3: True}
+
+
+def test_flexible_regex_notices_damage_in_a_later_line(spark, tmp_path, monkeypatch):
+    from spanloom.plans import fixtures as X
+
+    d = made(spark, tmp_path, documents=([(1, "plain words\nan office")], "doc_id long, text string"))
+    lost = spark.createDataFrame([(1, "plain words\nan office", "plain words\nan orifice")], "doc_id long, text string, raw string")
+    monkeypatch.setattr(X, "damaged", lambda *_: lost)
+    assert [r.found for r in QUERIES["flexible_regex"](spark, d).collect()] == [False]
