@@ -372,15 +372,41 @@ def literal_spans_topk(spark, d):
     return found.select("doc_id", F.col("nth").cast("long").alias("nth"), F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"))
 
 
+def _needles(text):
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit("[a-z]{6,}"), F.lit(0)))
+
+
+def _split_in_place(text, needle):
+    cut = F.concat(F.substring(needle, 1, 3), F.lit("- "), F.substring(F.col(needle), F.lit(4), F.length(needle)))
+    return F.replace(F.col(text), F.col(needle), cut)
+
+
 @query(r"""
 WITH t AS (SELECT conv_id, turn, regexp_extract(lower(text), '([a-z]{6,})', 1) AS needle, text FROM conversations)
 SELECT conv_id, turn, length(needle) >= 6 AS found FROM t""")
 def line_hyphen_spans(spark, d):
     from spanloom.operators.place import spans_udf
 
-    t = X.table(spark, d, "conversations").select("conv_id", "turn", F.regexp_extract(F.lower("text"), "([a-z]{6,})", 1).alias("needle"), "text")
-    cut = F.concat(F.substring("needle", 1, 3), F.lit("- "), F.substring(F.col("needle"), 4, 1000))
-    return t.select("conv_id", "turn", (F.size(spans_udf("line_hyphen")(F.concat(F.lit("a "), cut, F.lit(" z")), "needle")) > 0).alias("found"))
+    t = X.table(spark, d, "conversations").withColumn("row", F.monotonically_increasing_id()).select("conv_id", "turn", "row", F.lower("text").alias("text"))
+    t = t.select("conv_id", "turn", "row", "text", F.explode_outer(_needles("text")).alias("needle"))
+    hit = F.size(spans_udf("line_hyphen")(_split_in_place("text", "needle"), "needle")) > 0
+    return t.groupBy("conv_id", "turn", "row").agg(F.bool_and(F.col("needle").isNotNull() & hit).alias("found")).drop("row")
+
+
+@query(r"""
+WITH t AS (SELECT conv_id, turn, lower(text) AS text FROM conversations),
+n AS (SELECT conv_id, turn, text, unnest(list_distinct(regexp_extract_all(text, '[a-z]{6,}'))) AS needle FROM t)
+SELECT conv_id, turn, needle, CAST(len(p) - 1 AS INT) AS n_spans,
+       array_to_string(list_transform(range(1, len(p)), lambda i: length(array_to_string(p[1:i], '')) + (i - 1) * (length(needle) + 2)), ',') AS starts
+FROM (SELECT *, string_split(text, needle) AS p FROM n)""")
+def line_hyphen_spans_all(spark, d):
+    """All places of every needle of every turn, split in the turn's own text."""
+    from spanloom.operators.place import spans_udf
+
+    t = X.table(spark, d, "conversations").select("conv_id", "turn", F.lower("text").alias("text"))
+    t = t.select("conv_id", "turn", "text", F.explode(_needles("text")).alias("needle"))
+    t = t.select("conv_id", "turn", "needle", spans_udf("line_hyphen", None)(_split_in_place("text", "needle"), "needle").alias("s"))
+    return t.select("conv_id", "turn", "needle", F.size("s").alias("n_spans"), F.array_join(F.col("s.start").cast("array<string>"), ",").alias("starts"))
 
 
 def _line_pairs(t: DataFrame) -> DataFrame:

@@ -70,3 +70,15 @@ def test_flexible_regex_notices_damage_in_a_later_line(spark, tmp_path, monkeypa
     lost = spark.createDataFrame([(1, "plain words\nan office", "plain words\nan orifice")], "doc_id long, text string, raw string")
     monkeypatch.setattr(X, "damaged", lambda *_: lost)
     assert [r.found for r in QUERIES["flexible_regex"](spark, d).collect()] == [False]
+
+
+def test_line_hyphens_are_searched_in_the_whole_turn(spark, tmp_path):
+    long = "x" * 1100
+    turns = [(1, 0, "a short one, however moneyness and moneyness"), (1, 1, f"one {long} word"), (1, 2, "no such")]
+    d = made(spark, tmp_path, conversations=(turns, "conv_id long, turn long, text string"))
+    got = sorted((r.turn, r.needle, r.n_spans) for r in QUERIES["line_hyphen_spans_all"](spark, d).collect())
+    assert got == [(0, "however", 1), (0, "moneyness", 2), (1, long, 1)]
+    starts = {r.needle: r.starts for r in QUERIES["line_hyphen_spans_all"](spark, d).collect()}
+    text = "a short one, however mon- eyness and mon- eyness"
+    assert starts["moneyness"] == ",".join(str(m.start()) for m in re.finditer("mon- eyness", text))
+    assert {r.turn: r.found for r in QUERIES["line_hyphen_spans"](spark, d).collect()} == {0: True, 1: True, 2: False}
