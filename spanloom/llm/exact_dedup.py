@@ -3,16 +3,19 @@
 Texts are equal when identical after all white space of U+0020, U+0009..U+000D is deleted. Rows
 are grouped by the length of that normal form; where a length comes twice, by the hash of a
 prefix too; where both come twice, by the SHA-256 of the whole normal form. Only rows that are
-left in the last step have their content read again.
+left in the last step have their content hashed.
 
-The groups' sizes and winners are aggregates with partial results, and the rows find them by a
-sort-merge join that adaptive execution splits where one group holds many rows; no group is ever
-gathered in one task.
+The lengths and prefixes that come twice are sent to the rows while they are few (``MAX_BROADCAST``,
+counted first); beyond that, narrow rows are joined with them. Groups' sizes and winners are
+aggregates with partial results; no group is ever gathered in one task. Texts are not shuffled
+unless more rows are dropped than may be named to every worker; then once.
 
 Edge cases: a null text counts as empty, so all null, empty and blank texts are one group. Of a
 group, the row with the most code points in its original text stays, then the smallest id; of
-rows that repeat the same id as well, exactly one. Null ids sort last. An empty table gives an
-empty result. Columns other than id and text are ignored, whatever their names.
+rows that repeat the same id as well, exactly one. Ids are of any type that has an order; null ids
+come last, and a group whose winner has a null id has a null keep_id. Repeated ids with other texts
+are rows of their own. An empty table gives an empty result. Columns other than id and text are
+ignored, or kept by ``drop_exact_duplicates``, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.shared import WS, read, tune, write_table
+from spanloom.llm.shared import WS, drop_table, quoted, read, sent, tune, with_uid, without, write_table
 
 PREFIX_CHARS = 64
 
@@ -29,90 +32,68 @@ def normal(col):
     return F.translate(F.coalesce(col, F.lit("")), WS, "")
 
 
-def _repeated(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``df`` whose keys come more than once."""
-    return df.join(df.groupBy(*keys).count().filter("count > 1").select(*keys), keys, "left_semi")
-
-
-def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False) -> DataFrame:
-    """One row per row of ``df``: (id, keep_id, group_size, kept, text_sha256).
-
-    text_sha256 is null for rows whose length or prefix is unique, as their content is not read;
-    with ``digest_all`` it is worked out for every row, in the first scan."""
-    rows = df.select(F.col(id_col).alias("id"), normal(F.col(text_col)).alias("norm"), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_raw"))
-    marks = [
-        "id", "n_raw", F.length("norm").alias("n_norm"), F.xxhash64(F.substring("norm", 1, PREFIX_CHARS)).alias("prefix_hash"),
-        *([F.sha2("norm", 256).alias("sha")] if digest_all else []),
-    ]
-    seen = write_table(rows.select(*marks).withColumn("uid", F.monotonically_increasing_id()), "exact-marks")
-    by_length = _repeated(seen, ["n_norm"])
-    by_prefix = _repeated(by_length, ["n_norm", "prefix_hash"])
-    if digest_all:
-        left = by_prefix.select("uid", "id", "n_raw", "sha")
-    else:
-        # Rows that repeat id, lengths and prefix are read once each; the whole text decides.
-        wanted = by_prefix.select("id").distinct()
-        full = rows.join(wanted, rows["id"].eqNullSafe(wanted["id"]), "left_semi").select(
-            "id", "n_raw", F.length("norm").alias("n_norm"), F.xxhash64(F.substring("norm", 1, PREFIX_CHARS)).alias("prefix_hash"), F.sha2("norm", 256).alias("sha")
-        )
-        left = _with_digests(by_prefix, full)
-    groups = left.groupBy("sha").agg(F.count("*").alias("group_size"), F.max(F.struct("n_raw", (-F.col("id")).alias("neg"), (-F.col("uid")).alias("neg_uid"))).alias("best"))
-    groups = groups.select("sha", "group_size", (-F.col("best.neg")).alias("keep_id"), (-F.col("best.neg_uid")).alias("keep_uid"))
-    found = left.join(groups, "sha").select("uid", "sha", "group_size", "keep_id", "keep_uid")
-    if digest_all:
-        found = found.drop("sha")
-    out = seen.join(found, "uid", "left")
+def _marks(text_col: str) -> list:
+    """Code points of the text and of its normal form, and a hash of the normal form's beginning."""
+    text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
+    norm = normal(text)
+    return [F.length(text).cast("long").alias("n_raw"), F.length(norm).alias("n_norm"), F.xxhash64(F.substring(norm, 1, PREFIX_CHARS)).alias("prefix_hash")]
+
+
+def _survivors(seen: DataFrame, table: str) -> DataFrame:
+    """(n_norm, prefix_hash) that several rows of ``seen`` share, among lengths that several share."""
+    lengths = write_table(seen.groupBy("n_norm").count().filter("count > 1").select("n_norm"), "exact-lengths")
+    rows = seen.select("n_norm", "prefix_hash").join(sent(lengths), "n_norm", "left_semi")
+    pairs = write_table(rows.groupBy("n_norm", "prefix_hash").count().filter("count > 1").drop("count"), table)
+    drop_table(lengths)
+    return pairs
+
+
+def _groups(rows: DataFrame) -> DataFrame:
+    """rows: (uid, id, n_raw, sha). (sha, group_size, keep_id, keep_uid) of texts that come twice."""
+    best = F.min(F.struct((-F.col("n_raw")).alias("n"), F.col("id").isNull().alias("none"), "id", "uid"))
+    groups = rows.groupBy("sha").agg(F.count("*").alias("group_size"), best.alias("best")).filter("group_size > 1")
+    return groups.select("sha", "group_size", F.col("best.id").alias("keep_id"), F.col("best.uid").alias("keep_uid"))
+
+
+def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``df``: (id, keep_id, group_size, kept, text_sha256). As the digest is
+    wanted of every row, it is worked out in the first scan."""
+    sha = F.sha2(normal(F.col(quoted(text_col))), 256).alias("sha")
+    seen = write_table(df.select(F.monotonically_increasing_id().alias("uid"), F.col(quoted(id_col)).alias("id"), *_marks(text_col), sha), "exact-marks")
+    pairs = _survivors(seen, "exact-pairs")
+    groups = _groups(seen.join(sent(pairs), ["n_norm", "prefix_hash"], "left_semi").select("uid", "id", "n_raw", "sha"))
+    out = seen.select("uid", "id", "sha").join(groups, "sha", "left")
     return out.select(
         F.col("id").alias(id_col),
-        F.coalesce("keep_id", "id").alias("keep_id"),
+        F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.coalesce(F.col("keep_uid") == F.col("uid"), F.lit(True)).alias("kept"),
         F.col("sha").alias("text_sha256"),
     )
 
 
-def _with_digests(marks: DataFrame, full: DataFrame) -> DataFrame:
-    """Each marked row with the digest of a text read again. Rows that repeat id, both lengths
-    and prefix are numbered on both sides, so that each is paired with one text."""
-    from pyspark.sql import Window
-
-    keys = ["id", "n_raw", "n_norm", "prefix_hash"]
-    a = marks.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("uid")))
-    b = full.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("sha"))).withColumnsRenamed({k: f"{k}_" for k in [*keys, "nth"]})
-    same = [a[k].eqNullSafe(b[f"{k}_"]) for k in [*keys, "nth"]]
-    on = same[0]
-    for s in same[1:]:
-        on = on & s
-    return a.join(b, on).select("uid", "id", "n_raw", "sha")
-
-
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` without the rows that ``exact_duplicates`` drops; same columns."""
-    verdict = write_table(exact_duplicates(df, id_col, text_col).filter("kept").select(id_col), "exact-kept")
-    gone = df.join(verdict.select(F.col(id_col).alias("_kept_id")), F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
-    if _has_repeats(df, id_col):
-        gone = _first_of_equal_rows(df, id_col, text_col)
-    return gone
-
-
-def _has_repeats(df: DataFrame, id_col: str) -> bool:
-    return df.groupBy(id_col).count().filter("count > 1").limit(1).count() > 0
-
-
-def _first_of_equal_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Where ids repeat, an id does not name a row: the digest and a rank within (id, digest) do."""
-    from pyspark.sql import Window
-
-    keyed = df.withColumn("_sha", F.sha2(normal(F.col(text_col)), 256)).withColumn("_n", F.length(F.coalesce(F.col(text_col), F.lit(""))))
-    best = keyed.groupBy("_sha").agg(F.max(F.struct("_n", (-F.col(id_col)).alias("neg"))).alias("_best"))
-    kept = keyed.join(best, "_sha").filter((F.col("_n") == F.col("_best._n")) & (-F.col(id_col)).eqNullSafe(F.col("_best.neg")))
-    ranked = kept.withColumn("_nth", F.row_number().over(Window.partitionBy("_sha", id_col).orderBy(F.xxhash64(*df.columns))))
-    return ranked.filter("_nth = 1").select(*df.columns)
+    """``df`` without the rows that ``exact_duplicates`` drops; same columns. Content is hashed only
+    where length and prefix come twice."""
+    docs, uid = with_uid(df, "exact-docs")
+    rows = docs.select(F.col(uid).alias("uid"), F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
+    seen = write_table(rows.select("uid", *_marks("text")), "exact-marks")
+    pairs = _survivors(seen, "exact-pairs")
+    few = sent(pairs)
+    sha = F.sha2(normal(F.col("text")), 256).alias("sha")
+    if few is not pairs:  # the keys go to the rows, before any content is hashed
+        left = rows.select("uid", "id", "text", *_marks("text")).join(few, ["n_norm", "prefix_hash"], "left_semi").select("uid", "id", "n_raw", sha)
+    else:  # an inner join: a semi-join would be pushed below the digest and move the texts
+        left = rows.select("uid", "id", *_marks("text"), sha).join(pairs, ["n_norm", "prefix_hash"]).select("uid", "id", "n_raw", "sha")
+    left = write_table(left, "exact-digests")
+    gone = write_table(left.join(_groups(left), "sha").filter("uid <> keep_uid").select("uid"), "exact-gone")
+    drop_table(seen, pairs, left)
+    return without(docs, uid, gone)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
-    return exact_duplicates(read(spark, sf_dir, "documents"), digest_all=True)
+    return exact_duplicates(read(spark, sf_dir, "documents"))
 
 
 SQL = {
