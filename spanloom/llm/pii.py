@@ -1,32 +1,41 @@
 """Personal data by bootstrapped contextual extraction.
 
 One scan finds the base entities (email, ip, card, phone) by fixed forms, in time linear in the
-text, and beside them every other token that could be an identifier, each with the lexical
-patterns around it: the two words before it, the word before and the word after, and the word
-before alone where that is a label (ends in ``:``, ``=``, ``#`` or ``.``). The base entities are the seeds. Spark
-then scores the graph of patterns and instances for some rounds: a pattern is trusted as far as
-its distinct instances are known ones of one kind, an instance as far as the patterns it appears
-in are trusted; trusted instances count as known in the next round. At the end, every mention in a
-trusted pattern whose instance is trusted is added as a span of the pattern's kind. Base spans
-always stay.
-
-Edge cases: a null text counts as empty and has no spans. Repeated rows each get their spans.
-Spans are in code points, end exclusive. Empty tables give empty results. Context is looked for
-within ``CONTEXT`` code points of a mention; longer words are not patterns. Other columns of the
-input are ignored by ``find`` and kept by ``redact``.
+text, and beside them everything else that could be an identifier: tokens with an ``@`` or four
+digits, and runs of digit groups joined by single spaces, dots, slashes, hyphens or brackets, as
+``(743) 555-3824``; of any length. Each comes with the lexical patterns around it: the two words
+before it, the word before and the word after, and the word before alone where that is a label
+(ends in ``:``, ``=``, ``#`` or ``.``). The base entities are the seeds. Spark then scores the graph
+of patterns and instances for some rounds: a pattern is trusted as far as its distinct instances
+are known ones of one kind, an instance as far as the patterns it appears in are trusted; trusted
+instances count as known in the next round. At the end, every mention in a trusted pattern whose
+instance is trusted is added as a span of the pattern's kind. Base spans always stay. A run and a
+token inside it are judged each, so added spans may overlap.
+
+``redact`` reads the texts a second time, with the trusted patterns and instances that were met at
+hand; they are sent to the workers if they are at most ``MAX_MODEL``, counted first, and joined
+with the rows otherwise, which moves the texts once.
+
+Edge cases: a null text counts as empty and has no spans; ``redact`` leaves it null. Repeated rows
+each get their spans; ids are not used to find a row again. Spans are in code points, end
+exclusive. Empty tables give empty results. Context is looked for within ``CONTEXT`` code points of
+a mention; longer words are not patterns. Other columns of the input are ignored by ``find`` and
+kept by ``redact``, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.shared import read, tune, write_table
+from spanloom.llm.shared import drop_table, quoted, read, trimmed, tune, with_uid, write_table
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -36,6 +45,11 @@ DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TOKEN = re.compile(r"[A-Za-z0-9._%+@/#-]+")
+GROUPS = re.compile(r"(?<![A-Za-z0-9._%+@/#-])\(?[0-9]++\)?(?:[\x20./-]?\(?[0-9]++\)?)++(?![A-Za-z0-9@])")
+#: An instance longer than this goes by its digest.
+LONG = 128
+#: Trusted patterns, and instances, that may be sent to every worker: about 100 MB.
+MAX_MODEL = 200_000
 CONTEXT = 80
 #: Trust needed, distinct known instances needed, rounds of scoring.
 TRUST, SUPPORT, ROUNDS = 0.8, 5, 3
@@ -119,23 +133,38 @@ def patterns(text: str, start: int, end: int) -> list[str]:
     return out
 
 
+def others(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What could be an identifier beside the base spans."""
+    if not (DIGIT.search(text) or "@" in text):
+        return []
+    found = set()
+    for m in TOKEN.finditer(text):
+        word = m[0].strip("._%+/#-@")
+        if "@" in word or len(DIGIT.findall(word)) >= 4:
+            s = m.start() + m[0].index(word)
+            found.add((s, s + len(word)))
+    found.update(m.span() for m in GROUPS.finditer(text) if len(DIGIT.findall(m[0])) >= 4)
+    if not spans:
+        return sorted(found)
+    taken: list[list[int]] = []
+    for s, e, _ in spans:
+        if taken and s < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], e)
+        else:
+            taken.append([s, e])
+    ends = [e for _, e in taken]
+    return [(s, e) for s, e in sorted(found) if (i := bisect_right(ends, s)) == len(taken) or taken[i][0] >= e]
+
+
+def instance(text: str) -> str:
+    text = text.lower()
+    return text if len(text) <= LONG else hashlib.sha256(text.encode()).hexdigest()
+
+
 def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """Base spans, and other tokens that could identify somebody: four digits or an @."""
-    out = [(s, e, k) for s, e, k in spans]
-    if DIGIT.search(text) or "@" in text:
-        i = 0
-        for m in TOKEN.finditer(text):
-            s, e = m.span()
-            word = m[0].strip("._%+/#-@")
-            if not 5 <= len(word) <= 64 or ("@" not in word and len(DIGIT.findall(word)) < 4):
-                continue
-            s += m[0].index(word)
-            e = s + len(word)
-            while i < len(spans) and spans[i][1] <= s:
-                i += 1
-            if all(b >= e or c <= s for b, c, _ in spans[max(0, i - 8) : i + 8]):
-                out.append((s, e, -1))
-    return [{"start": s, "end": e, "kind": k, "inst": text[s:e].lower(), "pats": patterns(text, s, e)} for s, e, k in out]
+    """Base spans, and what else could identify somebody (kind -1)."""
+    out = [*spans, *((s, e, -1) for s, e in others(text, spans))]
+    return [{"start": s, "end": e, "kind": k, "inst": instance(text[s:e]), "pats": patterns(text, s, e)} for s, e, k in out]
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,18 +192,21 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
             yield pa.record_batch([b.column(0), b.column(1), *made.columns], names=["uid", "id", *schema.names])
 
     kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, SCAN.format(kind=kind))
+    rows = df.select(F.monotonically_increasing_id().alias("uid"), F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
+    return rows.mapInArrow(trimmed(run), SCAN.format(kind=kind))
+
 
+def _mentions(scanned: DataFrame) -> DataFrame:
+    return scanned.select("uid", F.explode("mentions").alias("m")).select("uid", "m.*")
 
-def bootstrap(scanned: DataFrame, trust: float = TRUST, support: int = SUPPORT, rounds: int = ROUNDS) -> DataFrame:
-    """(uid, start, end, kind) of the mentions that trusted patterns add."""
-    each = scanned.select("uid", F.explode("mentions").alias("m")).select("uid", "m.*")
+
+def bootstrap(scanned: DataFrame, trust: float = TRUST, support: int = SUPPORT, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """Trusted patterns (pat, kind, trust) and known instances (inst, kind, score)."""
+    each = _mentions(scanned)
     edges = write_table(each.select("inst", F.explode("pats").alias("pat")).distinct(), "pii-edges")
-    seeds = each.filter("kind >= 0").groupBy("inst", "kind").agg(F.lit(1.0).alias("score"))
+    seeds = write_table(each.filter("kind >= 0").groupBy("inst", "kind").agg(F.lit(1.0).alias("score")), "pii-seeds")
     degree = edges.groupBy("pat").agg(F.count("*").alias("degree"))
-    known = seeds = write_table(seeds, "pii-seeds")
-    trusted = None
+    known, trusted = seeds, None
     for _ in range(rounds):
         score = edges.join(known, "inst").groupBy("pat", "kind").agg(F.sum("score").alias("mass"), F.count("*").alias("n"))
         score = score.filter(F.col("n") >= support).join(degree, "pat").withColumn("trust", F.col("mass") / F.col("degree"))
@@ -182,15 +214,26 @@ def bootstrap(scanned: DataFrame, trust: float = TRUST, support: int = SUPPORT,
         grown = edges.join(trusted, "pat").groupBy("inst", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("trust"), F.lit(0.999)))))).alias("score"))
         grown = grown.filter(F.col("score") >= trust).join(seeds.select("inst"), "inst", "left_anti")
         known = write_table(seeds.unionByName(grown), "pii-known")
-    found = each.filter("kind < 0").select("uid", "start", "end", "inst", F.explode("pats").alias("pat"))
-    found = found.join(trusted, "pat").join(known.select("inst", "kind"), ["inst", "kind"], "left_semi")
-    return found.groupBy("uid", "start", "end").agg(F.max_by("kind", F.struct("trust", -F.col("kind"))).alias("kind"))
+    drop_table(edges, seeds)
+    return trusted, known
+
+
+def _added(scanned: DataFrame, trusted: DataFrame, known: DataFrame) -> DataFrame:
+    """(uid, start, end, inst, pat, kind, trust) of the mentions that trusted patterns add."""
+    found = _mentions(scanned).filter("kind < 0").select("uid", "start", "end", "inst", F.explode("pats").alias("pat"))
+    return found.join(trusted, "pat").join(known.select("inst", "kind"), ["inst", "kind"], "left_semi")
+
+
+def _more(added: DataFrame) -> DataFrame:
+    """(uid, more): the added spans of a text, each with the kind of its most trusted pattern."""
+    one = added.groupBy("uid", "start", "end").agg(F.max_by("kind", F.struct("trust", -F.col("kind"))).alias("kind"))
+    return one.groupBy("uid").agg(F.collect_list(F.struct("start", "end", "kind")).alias("more"))
 
 
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """Per row: (uid, id, counts and digest of the base spans, all_spans array<struct<start,kind,end>>)."""
     scanned = write_table(scan(df, id_col, text_col), "pii-scan")
-    more = bootstrap(scanned, **how).groupBy("uid").agg(F.collect_list(F.struct("start", "end", "kind")).alias("more"))
+    more = _more(_added(scanned, *bootstrap(scanned, **how)))
     out = scanned.join(more, "uid", "left")
     spans = F.concat("spans", F.coalesce("more", F.array().cast("array<struct<start:int,end:int,kind:int>>")))
     spans = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
@@ -202,35 +245,71 @@ def spans_string(col):
     return F.array_join(F.transform(col, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact_text(text: str | None, spans) -> str | None:
-    """Each span, or run of overlapping spans, replaced by the kind of its first, like [EMAIL]."""
-    if not spans or text is None:
-        return text
+def redact_text(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """Each span, or run of overlapping spans, replaced by the kind of its first, like [EMAIL].
+    spans: (start, end, kind) by start, then kind."""
     out, at = [], 0
-    for s in spans:
-        if s["start"] >= at:
-            out += [text[at : s["start"]], f"[{KINDS[s['kind']].upper()}]"]
-        at = max(at, s["end"])
+    for start, end, kind in spans:
+        if start >= at:
+            out += [text[at:start], f"[{KINDS[kind].upper()}]"]
+        at = max(at, end)
     return "".join(out) + text[at:]
 
 
-def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", **how) -> DataFrame:
+def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", max_model: int = MAX_MODEL, **how) -> DataFrame:
     """``df`` with all spans replaced; same columns and rows. ``length_col``, if there, follows."""
-    key = F.xxhash64(F.col(text_col))
-    marked = df.withColumn("_key", key).select(id_col, text_col, "_key")
-    spans = find(marked.select(F.struct(id_col, "_key").alias("_at"), text_col), "_at", text_col, **how)
-    spans = spans.filter(F.size("all_spans") > 0).groupBy("_at").agg(F.first("all_spans").alias("_spans"))
-    spans = spans.select(F.col(f"_at.{id_col}").alias("_id"), F.col("_at._key").alias("_key"), "_spans")
-    joined_ = df.withColumn("_key", key).join(spans.withColumnRenamed("_key", "_key2"), F.col(id_col).eqNullSafe(F.col("_id")) & F.col("_key").eqNullSafe(F.col("_key2")), "left")
-
-    @F.udf("string", useArrow=True)
-    def cut(text, spans):
-        return redact_text(text, spans)
-
-    out = joined_.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(cut(text_col, "_spans")))
-    if length_col in df.columns:
-        out = out.withColumn(length_col, F.when(F.col("_spans").isNull(), F.col(length_col)).otherwise(F.length(text_col)).cast(df.schema[length_col].dataType))
-    return out.select(*df.columns)
+    scanned = write_table(scan(df, id_col, text_col), "pii-scan")
+    trusted, known = bootstrap(scanned, **how)
+    added = _added(scanned, trusted, known)
+    pats = write_table(added.select("pat", "kind", "trust").distinct(), "pii-used")
+    insts = write_table(added.select("inst", "kind").distinct(), "pii-found")
+    model = None
+    if max(pats.count(), insts.count()) <= max_model:
+        by: dict[str, list[tuple[float, int]]] = defaultdict(list)
+        for r in pats.toLocalIterator():
+            by[r.pat].append((r.trust, -r.kind))
+        model = df.sparkSession.sparkContext.broadcast((dict(by), frozenset((r.inst, r.kind) for r in insts.toLocalIterator())))
+
+    def more(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        by, insts = model.value
+        out = []
+        for s, e in others(text, base) if by else ():
+            inst = instance(text[s:e])
+            fits = [t for p in patterns(text, s, e) for t in by.get(p, ()) if (inst, -t[1]) in insts]
+            if fits:
+                out.append((s, e, -max(fits)[1]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names, columns = list(b.schema.names), list(b.columns)
+            given = columns.pop().to_pylist() if model is None else None
+            names = names[: len(columns)]
+            at = names.index(text_col)
+            texts = columns[at].to_pylist()
+            lengths = columns[names.index(length_col)].to_pylist() if length_col in names else None
+            for i, text in enumerate(texts):
+                if text:
+                    spans = base_spans(text)
+                    spans += more(text, spans) if given is None else [(s["start"], s["end"], s["kind"]) for s in given[i] or ()]
+                    if spans:
+                        texts[i] = redact_text(text, sorted(spans, key=lambda x: (x[0], x[2], x[1])))
+                        if lengths:
+                            lengths[i] = len(texts[i])
+            columns[at] = pa.array(texts, columns[at].type)
+            if lengths is not None:
+                place = names.index(length_col)
+                columns[place] = pa.array(lengths, columns[place].type)
+            yield pa.record_batch(columns, names=names)
+
+    if model is not None:
+        drop_table(scanned)
+        return df.mapInArrow(trimmed(run), df.schema)
+    docs, uid = with_uid(df, "pii-docs")
+    scanned = write_table(scan(docs, uid, text_col), "pii-scan")
+    spans = _more(_added(scanned, trusted, known).join(scanned.select("uid", "id"), "uid").drop("uid").withColumnRenamed("id", "uid"))
+    rows = docs.join(spans.toDF(uid, "more"), uid, "left")
+    return rows.select(*[F.col(quoted(c)) for c in df.columns], F.col("more")).mapInArrow(trimmed(run), df.schema)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
