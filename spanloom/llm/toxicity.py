@@ -7,19 +7,22 @@ inputs as uncertain as the ones they meet at prediction.
 
 The chain is fitted on a bounded sample of the labelled rows (``MAX_LABELLED``, those with the
 smallest hash of the id). Each text is turned on the executors into its set of hashed words, word beginnings and symbol runs; of
-these the ``FEATURES`` buckets that differ most between the classes are kept, and only sets of
-integers reach the driver. The models are a few thousand numbers, so they go to every worker.
+these the ``FEATURES`` buckets that differ most between the classes are kept. The chain is fitted
+in one task from at most ``MAX_LABELLED`` sets of integers; the driver sees the models alone. They
+are a few thousand numbers, so they go to every worker.
 
 Edge cases: a null or empty text has no words and gets the models' intercepts. Labels that are
 null or without a document are ignored; ids labelled more than once count as the maximum of their
-labels. With fewer than ``MIN_CLASS`` rows of a class a category's model is constant at the rate
+labels, and of documents that repeat a labelled id one, the least text, is learned from. With fewer than ``MIN_CLASS`` rows of a class a category's model is constant at the rate
 observed (0 if there are no labels). Repeated rows are scored each; other columns are ignored by
 ``score`` and kept by ``drop_toxic``.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
+import uuid
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.shared import fewer_collections, read, tune
+from spanloom.llm.shared import Recent, quoted, read, remembered, trimmed, tune
 
 MAX_LABELLED = 8_000
 BUCKETS = 1 << 20
@@ -58,21 +61,12 @@ def _buckets(token: str) -> list[int]:
 
 def words(text: str | None) -> set[int]:
     """Hashed buckets of the distinct words, their beginnings and runs of symbols."""
-    known = words.known  # type: ignore[attr-defined]
-    out: set[int] = set()
-    for w in set((text or "").split()):
-        h = known.get(w)
-        if h is None:
-            if len(known) > 200_000:
-                known.clear()
-            h = _buckets(w)
-            if len(w) <= 40:
-                known[w] = h
-        out.update(h)
-    return out
-
-
-words.known = {}  # type: ignore[attr-defined]
+    known = remembered("toxicity training", lambda: Recent(50_000))
+    known.turn()
+    tokens = set((text or "").split())
+    for w in known.missing(tokens):
+        known.young[w] = _buckets(w)
+    return {i for w in tokens for i in known.young[w]}
 
 
 def _top(x):
@@ -94,7 +88,7 @@ def _fit_logistic(x, y, l2: float = L2, steps: int = 250):
     import numpy as np
 
     n, d = x.shape
-    rate = y.mean()
+    rate = y.mean() if n else 0.0
     if min(y.sum(), n - y.sum()) < MIN_CLASS:
         p = float(np.clip(rate, 1e-6, 1 - 1e-6)) if n else 1e-6
         return np.zeros(d), float(np.log(p / (1 - p)))
@@ -118,7 +112,7 @@ class Chain:
     """Fitted models: for each category its buckets, weights (then one per earlier category)."""
 
     def __init__(self, names: list[str]):
-        self.names, self.models = names, []
+        self.names, self.models, self.key = names, [], uuid.uuid4().hex
 
     @staticmethod
     def choose(rows, indptr, y, features: int):
@@ -127,39 +121,39 @@ class Chain:
 
         if not len(rows):
             return np.empty(0, np.int64)
-        owner = np.repeat(np.arange(len(indptr) - 1, dtype=np.int32), np.diff(indptr))
-        pos = np.bincount(rows, weights=y[owner], minlength=BUCKETS)
-        tot = np.bincount(rows, minlength=BUCKETS)
-        n, n1 = len(y), max(y.sum(), 1e-9)
+        toxic = np.repeat(y == 1, np.diff(indptr))
+        pos, tot = counted(rows[toxic]), counted(rows)
+        n, n1 = len(y), max((y == 1).sum(), 1e-9)
         expect = tot * n1 / max(n, 1)
         chi = np.where(tot >= 3, (pos - expect) ** 2 / np.maximum(expect, 0.5), 0)
         top = np.argsort(-chi, kind="stable")[:features]
         return np.sort(top[chi[top] > 0])
 
     @staticmethod
-    def dense(rows, indptr, chosen):
+    def dense(rows, indptr, chosen, before):
+        """Presence of the chosen buckets, then the columns of ``before``, as 4-byte floats."""
         import numpy as np
 
-        x = np.zeros((len(indptr) - 1, len(chosen)), np.float32)
+        x = np.zeros((len(indptr) - 1, len(chosen) + before.shape[1]), np.float32)
+        x[:, len(chosen) :] = before
         if len(chosen) and len(rows):
-            owner = np.repeat(np.arange(len(indptr) - 1, dtype=np.int32), np.diff(indptr))
-            at = np.minimum(np.searchsorted(chosen, rows), len(chosen) - 1)
-            hit = chosen[at] == rows
-            x[owner[hit], at[hit]] = 1
+            place = np.full(BUCKETS, -1, np.int16)
+            place[chosen] = np.arange(len(chosen))
+            at = place[rows]
+            hit = np.flatnonzero(at >= 0)
+            x[np.searchsorted(indptr, hit, side="right") - 1, at[hit]] = 1
         return x
 
     def _one(self, rows, indptr, y, before, features):
-        import numpy as np
-
         chosen = self.choose(rows, indptr, y, features)
-        x = np.hstack([self.dense(rows, indptr, chosen), before]).astype(np.float32)
-        return chosen, *_fit_logistic(x, y)
+        return chosen, *_fit_logistic(self.dense(rows, indptr, chosen, before), y)
 
     def fit(self, docs: list, labels, folds: int = FOLDS, features: int = FEATURES) -> Chain:
         import numpy as np
 
         n = len(docs)
         fold = np.arange(n) % folds
+        labels = np.zeros((0, len(self.names))) if labels is None else labels
         before = np.zeros((n, 0))
         rows, indptr = flat(docs)
         for c in range(len(self.names)):
@@ -182,33 +176,25 @@ class Chain:
         import numpy as np
 
         chosen, w, b = model
-        z = np.hstack([self.dense(rows, indptr, chosen), before]) @ w + b
+        z = self.dense(rows, indptr, chosen, before) @ w + b
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     def features(self, text: str | None) -> set[int]:
         """Places, among all buckets that any model uses, of those the text has."""
         import numpy as np
 
-        if not hasattr(self, "known"):
-            fewer_collections()
+        if not hasattr(self, "used"):
             self.used = np.unique(np.concatenate([m[0] for m in self.models]))
             self.place = {int(b): i for i, b in enumerate(self.used)}
-            self.known: dict[str, tuple[int, ...]] = {}
-        known, place, out = self.known, self.place.get, set()
-        for w in set((text or "").split()):
-            h = known.get(w)
-            if h is None:
-                if len(known) > 500_000:
-                    known.clear()
-                h = tuple(i for i in map(place, _buckets(w)) if i is not None)
-                if len(w) <= 40:
-                    known[w] = h
-            if h:
-                out.update(h)
-        return out
+        known, place = remembered(f"toxicity {self.key}", lambda: Recent(150_000)), self.place.get
+        known.turn()
+        tokens = set((text or "").split())
+        for w in known.missing(tokens):
+            known.young[w] = tuple(i for i in map(place, _buckets(w)) if i is not None)
+        return {i for w in tokens for i in known.young[w]}
 
     def __getstate__(self):
-        return {"names": self.names, "models": self.models}
+        return {"names": self.names, "models": self.models, "key": self.key}
 
     def predict(self, texts: list):
         """Probabilities, one column per category, in the chain's order."""
@@ -227,36 +213,59 @@ class Chain:
         return before
 
 
+def counted(rows):
+    """How often each bucket occurs, counted a part at a time: the count works on 8-byte copies."""
+    import numpy as np
+
+    out = np.zeros(BUCKETS, np.int32)
+    for i in range(0, len(rows), 1 << 20):
+        out += np.bincount(rows[i : i + (1 << 20)], minlength=BUCKETS).astype(np.int32)
+    return out
+
+
 def flat(docs: list):
     import numpy as np
 
     indptr = np.zeros(len(docs) + 1, np.int64)
     indptr[1:] = np.cumsum([len(d) for d in docs])
-    return (np.concatenate([np.sort(np.asarray(d, np.int32)) for d in docs]) if docs else np.empty(0, np.int32)), indptr
+    return (np.concatenate([np.asarray(d, np.int32) for d in docs]) if docs else np.empty(0, np.int32)), indptr
 
 
 def train(docs: DataFrame, labels: DataFrame, chain=CHAIN, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> Chain:
-    """Fit the chain on at most ``max_labelled`` labelled rows of ``docs``."""
-    import numpy as np
-
-    marks = labels.select(F.col(id_col).alias("_label_id"), *[F.expr(f"double({e})").alias(f"_y{i}") for i, (_, e) in enumerate(chain)]).dropna()
-    marks = marks.groupBy("_label_id").agg(*[F.max(f"_y{i}").alias(f"_y{i}") for i in range(len(chain))])
+    """Fit the chain on at most ``max_labelled`` labelled ids of ``docs``, in one task of an executor."""
+    ys = [f"y{i}" for i in range(len(chain))]
+    marks = labels.select(F.col(quoted(id_col)).alias("label_id"), *[F.expr(f"double({e})").alias(y) for y, (_, e) in zip(ys, chain, strict=True)]).dropna()
+    marks = marks.groupBy("label_id").agg(*[F.max(y).alias(y) for y in ys])
     # The choice is made among ids alone; at most max_labelled rows, so they may be broadcast.
-    chosen = marks.orderBy(F.xxhash64("_label_id"), "_label_id").limit(max_labelled)
-    ys = [f"_y{i}" for i in range(len(chain))]
+    chosen = marks.orderBy(F.xxhash64("label_id"), "label_id").limit(max_labelled)
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("label_id"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [sorted(words(t)) for t in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array(sets, pa.list_(pa.int32())), *b.columns[2:]], names=["id", "set", *ys])
+            yield pa.record_batch([b.column(0), pa.array(sets, pa.list_(pa.int32())), *b.columns[2:]], names=["id", "found", *ys])
 
-    rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_label_id")).select(F.col(id_col).cast("long").alias("id"), F.col(text_col), *ys)
-    got = rows.mapInArrow(run, "id long, set array<int>, " + ", ".join(f"{y} double" for y in ys)).toArrow().combine_chunks().sort_by("id")
-    sets = got["set"].combine_chunks()
-    flat_sets, off = sets.values.to_numpy(zero_copy_only=False), sets.offsets.to_numpy()
-    listed = [flat_sets[off[i] : off[i + 1]] for i in range(len(sets))]
-    y = np.column_stack([got[c].to_numpy() for c in ys]) if len(listed) else np.zeros((0, len(ys)))
-    return Chain([n for n, _ in chain]).fit(listed, y)
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        got = pa.Table.from_batches(list(batches)).sort_by("id")
+        sets = got["found"].combine_chunks()
+        values, off = sets.values.to_numpy(zero_copy_only=False), sets.offsets.to_numpy()
+        listed = [values[off[i] : off[i + 1]] for i in range(len(sets))]  # views, no copies
+        y = np.column_stack([got[c].to_numpy() for c in ys])
+        yield pa.record_batch([pa.array([pickle.dumps(Chain([n for n, _ in chain]).fit(listed, y))], pa.binary())], names=["chain"])
+
+    def fit_if_any(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = [b for b in batches if b.num_rows]
+        if some:
+            yield from fit(iter(some))
+
+    # One text per id: of rows that repeat it, the least text.
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = rows.groupBy("id").agg(F.min("text").alias("text"), *[F.first(y).alias(y) for y in ys])
+    sets = rows.mapInArrow(trimmed(found), f"id {kind}, found array<int>, " + ", ".join(f"{y} double" for y in ys))
+    got = sets.repartition(1).mapInArrow(trimmed(fit_if_any), "chain binary").collect()  # a row of some 20 KB
+    return pickle.loads(got[0].chain) if got else Chain([n for n, _ in chain]).fit([], None)
 
 
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -271,7 +280,7 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
             yield pa.record_batch([b.column(0), *[pa.array(p[:, i]) for i in range(p.shape[1])], pa.array(p[:, -1] >= threshold)], names=["id", *names, "toxic"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} double" for n in names) + ", toxic boolean").withColumnRenamed("id", id_col)
+    return docs.select(id_col, text_col).mapInArrow(trimmed(run), f"id {kind}, " + ", ".join(f"{n} double" for n in names) + ", toxic boolean").withColumnRenamed("id", id_col)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -286,7 +295,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
             p = shared.value.predict(b.column(at).to_pylist())
             yield b.filter(pa.array(p[:, -1] < THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
