@@ -20,23 +20,27 @@ the tokenizer reads them.
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.shared import WHITE, fewer_collections, read, tune, write_table
+from spanloom.llm.shared import WHITE, Recent, quoted, read, remembered, trimmed, tune, write_table
 
 CAPACITY, END = 4096, 1
+END_BYTES = END.to_bytes(4, "little")
 RANK_GROUP = 50_000
+ROWS_AT_ONCE = 300
 PASSES, PATTERNS_PER_LENGTH, STEPS = 6, 6, 120
-#: Words and stems that a worker keeps, and their longest; about 150 MB.
-CACHE_ENTRIES, STEM_ENTRIES, CACHE_CHARS = 250_000, 500_000, 40
+#: Words and stems in a generation of a worker's memory, and their longest; about 130 MB.
+CACHE_ENTRIES, STEM_ENTRIES, CACHE_CHARS = 60_000, 250_000, 40
 SPLIT = re.compile(rf"[{WHITE}]+")
 #: A run of letters, then symbols; letters whose lower case depends on place or grows are left out.
 WORD = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
@@ -59,24 +63,32 @@ class Ids:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        fewer_collections()
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
-
-    def _encode(self, words: list[str]) -> None:
-        """Learn the stems in ``words``."""
-        stems = self.stems
-        if len(stems) > STEM_ENTRIES:
-            stems.clear()
-        new = list(set(words).difference(stems))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            stems.update(zip(part, [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(part, add_special_tokens=False)], strict=True))
-
-    def _learn(self, missing: set[str]) -> dict[str, bytes]:
+        self.known, self.stems = Recent(CACHE_ENTRIES), Recent(STEM_ENTRIES)
+
+    def _encode(self, stems: set[str]) -> dict[str, bytes]:
+        """Learn the stems; returns where they are known."""
+        self.stems.turn()
+        new = self.stems.missing(stems)
+        for i in range(0, len(new), 1000):
+            self.stems.young.update(self._together(new[i : i + 1000]))
+        return self.stems.young
+
+    def _together(self, stems: list[str]) -> Iterator[tuple[str, bytes]]:
+        """The stems as one text, cut again where the tokenizer's words end, if those are the stems;
+        else each by itself. One call costs less than a thousand."""
+        if all(map(str.isalpha, stems)):
+            e = self.tok.encode(" ".join(stems), add_special_tokens=False)
+            of = np.array(e.word_ids, np.int64)
+            cuts = np.flatnonzero(np.diff(of, prepend=-1, append=-1)) * 4
+            if len(cuts) == len(stems) + 1 and len(of) and of[-1] == len(stems) - 1:
+                ids = np.array(e.ids, "<u4").tobytes()
+                return zip(stems, [ids[a:b] for a, b in itertools.pairwise(cuts.tolist())])
+        return zip(stems, [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(stems, add_special_tokens=False)])
+
+    def _learn(self, missing: list[str]) -> dict[str, bytes]:
         """Ids of words not known yet; returns those too long to keep. Letters and the symbols
         after them are tokens apart, and letters are lower-cased by the tokenizer, so most words
         come down to fewer stems."""
@@ -86,6 +98,10 @@ class Ids:
                 long.append(w)
                 continue
             words.append(w)
+            if w.isalpha() and w.isascii():
+                heads.append(w.lower())
+                tails.append("")
+                continue
             m = match(w)
             if m and (w.isascii() or (m[1].isalpha() and not ODD.search(w))):
                 heads.append(m[1].lower())
@@ -93,30 +109,38 @@ class Ids:
             else:
                 heads.append(w)
                 tails.append("")
-        self._encode(heads + [z for z in set(tails) if z])
-        stems = self.stems
+        asked = set(heads)
+        asked.update(tails)
+        asked.discard("")
+        stems = self._encode(asked)
         stems[""] = b""
-        self.known.update(zip(words, [stems[a] + stems[z] for a, z in zip(heads, tails, strict=True)], strict=True))
-        return {w: array("I", e.ids).tobytes() for w, e in zip(long, self.tok.encode_batch_fast(long, add_special_tokens=False), strict=True)}
-
-    def of(self, texts: list[str | None]) -> list[bytes]:
-        split = [(SPLIT.split(t) if SEPARATORS.search(t) else t.split()) if t else [] for t in texts]
-        known = self.known
-        if len(known) > CACHE_ENTRIES:
-            known.clear()
-        seen: set[str] = set()
-        for ws in split:
-            seen.update(ws)
-        now = self._learn(seen.difference(known))
-        end = array("I", [END]).tobytes()
-        if now:
-            return [b"".join([known[w] if w in known else now[w] for w in ws]) + end for ws in split]
-        return [b"".join(map(known.__getitem__, ws)) + end for ws in split]
-
-
-@lru_cache(maxsize=1)
+        self.known.young.update(zip(words, [stems[a] + stems[z] for a, z in zip(heads, tails)]))
+        return {w: array("I", e.ids).tobytes() for w, e in zip(long, self.tok.encode_batch_fast(long, add_special_tokens=False))}
+
+    def of(self, texts: pa.Array) -> tuple[memoryview, list[int]]:
+        """Ids of all texts, without end tokens, one after the other, and where each begins and ends.
+        Words are split, told apart and put together again by Arrow; only distinct ones are objects."""
+        texts = texts.fill_null("")
+        if pc.any(pc.match_substring_regex(texts, "[\x1c-\x1f]")).as_py():  # those are no white space here
+            lists = pa.array([[w for w in SPLIT.split(t) if w] for t in texts.to_pylist()], pa.list_(pa.string()))
+        else:
+            lists = pc.utf8_split_whitespace(texts)
+        words = lists.flatten().dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        self.known.turn()
+        now = self._learn(self.known.missing(distinct))
+        known = self.known.young
+        blobs = [known[w] if w in known else now[w] for w in distinct] if now else list(map(known.__getitem__, distinct))
+        ids = pa.array(blobs, pa.large_binary()).take(words.indices)
+        starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        if not len(ids):
+            return memoryview(b""), [0] * (len(texts) + 1)
+        ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, 8 * ids.offset)
+        return memoryview(ids.buffers()[2]), ends[starts].tolist()
+
+
 def _ids(path: str) -> Ids:
-    return Ids(path)
+    return remembered(f"packing {path}", lambda: Ids(path))
 
 
 def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -125,16 +149,21 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _ids(tokenizer)
-        for b in batches:
+        for b in (b.slice(i, ROWS_AT_ONCE) for b in batches for i in range(0, len(b), ROWS_AT_ONCE)):
             owner, piece, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(t.of(b.column(2).to_pylist())):
-                for k in range(-(-len(ids) // (4 * capacity))):
-                    part = ids[4 * capacity * k : 4 * capacity * (k + 1)]
+            ids, at = t.of(b.column(2))
+            for i in range(len(b)):
+                lo, hi = at[i], at[i + 1]
+                n = (hi - lo) // 4 + 1  # and the end token
+                for k in range(-(-n // capacity)):
+                    first, last = lo + 4 * capacity * k, min(lo + 4 * capacity * (k + 1), hi)
+                    size = min(capacity, n - capacity * k)
+                    sum_ = zlib.crc32(ids[first:last])
                     owner.append(i)
                     piece.append(k)
                     start.append(capacity * k)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
+                    length.append(size)
+                    crc.append(sum_ if size == (last - first) // 4 else zlib.crc32(END_BYTES, sum_))
             own = pa.array(owner, pa.int64())
             i64 = pa.int64()
             yield pa.record_batch(
@@ -143,15 +172,13 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
             )
 
     kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"uid long, id {kind}, piece int, start long, length long, ids_crc32 long")
+    rows = df.select(F.monotonically_increasing_id().alias("uid"), F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
+    return rows.mapInArrow(trimmed(run), f"uid long, id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def _patterns(left, capacity: int, per_length: int, rng) -> list[tuple[int, ...]]:
     """Patterns of two present lengths that sum to the capacity; with ``per_length`` of three and
     four as well, so many for each length."""
-    import numpy as np
-
     have = np.flatnonzero(left)
     found = {(a, capacity - a) for a in have.tolist() if a <= capacity - a and left[capacity - a]}
     weight = left[have] / left[have].sum()
@@ -169,8 +196,6 @@ def _patterns(left, capacity: int, per_length: int, rng) -> list[tuple[int, ...]
 def _fit(patterns: list[tuple[int, ...]], left, capacity: int):
     """Repeat counts x >= 0 that minimise |W (A x - left)|^2 by accelerated projected gradients; W
     weighs lengths by their share of the capacity, as long pieces are the hard ones to place."""
-    import numpy as np
-
     owner = np.repeat(np.arange(len(patterns)), [len(p) for p in patterns])
     item = np.fromiter((i for p in patterns for i in p), np.int64)
     n = len(patterns)
@@ -229,8 +254,6 @@ def best_fit(left, capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[tuple[int, int]], int]]:
     """([(length, copies)...], number of sequences) for all pieces of the histogram."""
-    import numpy as np
-
     left = np.zeros(capacity + 1, np.int64)
     for size, n in histogram.items():
         left[size] += n
@@ -272,8 +295,6 @@ class Slots:
     """For each length, runs of ranks and where they go."""
 
     def __init__(self, groups: list[tuple[list[tuple[int, int]], int]], capacity: int):
-        import numpy as np
-
         rows, base = [], 0
         at = [0] * (capacity + 1)
         for contents, n in groups:
@@ -289,8 +310,6 @@ class Slots:
         self.sequences = base
 
     def place(self, length, rank):
-        import numpy as np
-
         i = np.searchsorted(self.key, length << 44 | rank, side="right") - 1
         size, start, base, off, q = self.rows[i].T
         r = rank - start
@@ -317,7 +336,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
             yield pa.record_batch([*b.columns[:5], pa.array(seq), pa.array(off)], names=[*b.schema.names[:5], "sequence_id", "offset"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    out = ranked.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    out = ranked.mapInArrow(trimmed(run), f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return out.withColumnRenamed("id", id_col)
 
 
