@@ -16,18 +16,17 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm.shared import WHITE, fewer_collections, read, tune
+from spanloom.llm.shared import WHITE, Recent, read, remembered, trimmed, tune
 
 SPLIT = re.compile(rf"(?<=\S)(?=[{WHITE}])")
 RUN = re.compile(rf"[{WHITE}]+")
 LONG_RUN = 1000
-#: Entries and characters of a piece that a worker keeps; about 60 MB.
-CACHE_ENTRIES, CACHE_CHARS = 200_000, 40
+#: Entries of a generation, and characters of a piece, that a worker keeps; about 60 MB.
+CACHE_ENTRIES, CACHE_CHARS = 100_000, 40
 
 
 def default_ranks() -> str:
@@ -48,11 +47,10 @@ class Codec:
     def __init__(self, rank_path: str, pattern: str):
         import tiktoken
 
-        fewer_collections()
         with open(rank_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.enc = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[str, tuple[int, bytes, bytes]] = {}
+        self.known = Recent(CACHE_ENTRIES)
 
     def piece_ids(self, piece: str) -> list[int]:
         run = RUN.match(piece)
@@ -69,12 +67,12 @@ class Codec:
         return self.enc.decode_bytes(ids)
 
     def _look_up(self, piece: str) -> tuple[int, bytes, bytes]:
-        ids = self.piece_ids(piece)
-        got = (len(ids), " ".join(map(str, ids)).encode(), self.decode(ids))
+        got = self.known.old.get(piece)
+        if got is None:
+            ids = self.piece_ids(piece)
+            got = (len(ids), " ".join(map(str, ids)).encode(), self.decode(ids))
         if len(piece) <= CACHE_CHARS:
-            if len(self.known) >= CACHE_ENTRIES:
-                self.known.clear()
-            self.known[piece] = got
+            self.known.young[piece] = got
         return got
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
@@ -82,7 +80,8 @@ class Codec:
         if not text:
             empty = hashlib.sha256().hexdigest()
             return 0, empty, empty
-        known = self.known
+        self.known.turn()
+        known = self.known.young
         got = [known.get(p) or self._look_up(p) for p in SPLIT.split(text)]
         return (
             sum(g[0] for g in got),
@@ -91,10 +90,9 @@ class Codec:
         )
 
 
-@lru_cache(maxsize=2)
 def codec(rank_path: str, pattern: str) -> Codec:
     """One per worker process."""
-    return Codec(rank_path, pattern)
+    return remembered(f"bpe {rank_path} {pattern}", lambda: Codec(rank_path, pattern))
 
 
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -109,7 +107,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_p
             yield pa.record_batch([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return df.select(id_col, text_col).mapInArrow(trimmed(run), f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", rank_path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -123,7 +121,7 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", rank_pat
             yield pa.record_batch([b.column(0), pa.array(out, pa.binary())], names=["id", "bytes"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, ids_col).mapInArrow(run, f"id {kind}, bytes binary").withColumnRenamed("id", id_col)
+    return df.select(id_col, ids_col).mapInArrow(trimmed(run), f"id {kind}, bytes binary").withColumnRenamed("id", id_col)
 
 
 def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -140,7 +138,7 @@ def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
             )
 
     kind = df.schema[id_col].dataType.simpleString()
-    out = df.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = df.select(id_col, text_col).mapInArrow(trimmed(run), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("id", id_col)
 
 

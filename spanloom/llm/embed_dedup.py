@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.graph import connected_components
-from spanloom.llm.shared import partitions, read, tune, write_table
+from spanloom.llm.shared import read, trimmed, tune, write_table
 
 THRESHOLD = 0.9
 #: Independent codes, parts of each, filters a random vector passes in each code on average, and
@@ -114,7 +114,7 @@ def _filters(reps: DataFrame, dim: int, words: int) -> DataFrame:
                 lists.append(np.sort(np.concatenate([decode(v, dim, words, k) for k in range(CODES)])))
             yield pa.record_batch([b.column(0), b.column(1), pa.array(xs, pa.binary()), pa.array([f.tobytes() for f in lists], pa.binary()), pa.array([f.tolist() for f in lists], pa.list_(pa.int64()))], names=["id", "weight", "x", "filters", "each"])
 
-    return reps.mapInArrow(run, "id long, weight long, x binary, filters binary, each array<long>")
+    return reps.mapInArrow(trimmed(run), "id long, weight long, x binary, filters binary, each array<long>")
 
 
 def _meet(rows: DataFrame, spark: SparkSession, threshold: float) -> DataFrame:
@@ -123,7 +123,7 @@ def _meet(rows: DataFrame, spark: SparkSession, threshold: float) -> DataFrame:
     dealt = rows.join(load.select("filter", "nb"), "filter").withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     dealt = dealt.select("filter", F.least("block", "o").alias("b1"), F.greatest("block", "o").alias("b2"), "block", "id", "weight", "x", "filters")
-    dealt = dealt.repartition(partitions(spark), "filter", "b1", "b2").sortWithinPartitions("filter", "b1", "b2")
+    dealt = dealt.repartition("filter", "b1", "b2").sortWithinPartitions("filter", "b1", "b2")
 
     def group(g: list[tuple], links: dict, edges: list) -> None:
         import numpy as np
@@ -192,7 +192,7 @@ def _meet(rows: DataFrame, spark: SparkSession, threshold: float) -> DataFrame:
             group(g, links, edges)
             yield out(links, edges)
 
-    return dealt.mapInArrow(run, "id long, other long, links long")
+    return dealt.mapInArrow(trimmed(run), "id long, other long, links long")
 
 
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
@@ -205,7 +205,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
         return rows.select(*result, F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     dim = sizes["d"]
     good = rows.filter((F.size("x") == dim) & F.col("id").isNotNull())
-    reps = write_table(good.groupBy("x").agg(F.min("id").alias("id"), F.count("*").alias("weight")).select("id", "weight", "x").repartition(partitions(spark), "id"), "caps-reps")
+    reps = write_table(good.groupBy("x").agg(F.min("id").alias("id"), F.count("*").alias("weight")).select("id", "weight", "x").repartition("id"), "caps-reps")
     n = reps.count()
     words = max(4, round((FILTERS_PER_VECTOR * max(n, 1)) ** (1 / min(PARTS, dim))))
     listed = write_table(_filters(reps, dim, words), "caps-filters")

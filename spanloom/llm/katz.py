@@ -16,7 +16,10 @@ the requests. Requests are distinct within a batch, so frequent words are no hot
 with very many tokens is cut over several buckets, and its sums are added. Bigram counts and
 backoff weights are tables partitioned by bucket. Sizes: a bucket gets about BUCKET requests.
 
-Words are known by 64-bit hashes; within their bucket contexts and bigrams go by 48 bits.
+Words are known by 64-bit hashes; within their bucket contexts and bigrams go by 48 bits, and are
+not confirmed by their texts. A bucket holds about BUCKET bigrams at any size of the corpus, so two
+of them are taken for one with probability BUCKET^2 / 2^49 < 0.001 a bucket: of a billion bigrams
+about one is merged with another.
 
 Edge cases: a null, empty or blank text is one end token. A null id counts as the empty string
 for the split, which makes it held out. Repeated rows are counted and scored each. Without
@@ -28,18 +31,18 @@ are ignored.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.minhash import Words, mix
-from spanloom.llm.shared import drop_table, fewer_collections, partitions, read, tune, write_table
+from spanloom.llm.minhash import mix, word_hashes
+from spanloom.llm.shared import drop_table, read, trimmed, tune, write_table
 
-BATCH, BUCKET, HOT_TOKENS, HOT_SHARE = 2_000_000, 1_000_000, 2_000_000, 100_000
+BATCH, BUCKET, HOT_TOKENS, HOT_SHARE = 1_200_000, 600_000, 2_000_000, 100_000
 K = 5
 END = b"\n"
 ROW = "batch long, bucket int, kind int, ids array<long>, a binary, b binary, c binary, d binary, e binary, f binary"
@@ -49,12 +52,6 @@ SCHEMA = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("kind", pa.i
 DOCS, WORD_ANSWER, PAIR_ANSWER, MODEL, REQUEST, STATS, HOT = range(7)
 
 
-@lru_cache(maxsize=1)
-def _words() -> Words:
-    fewer_collections()
-    return Words()
-
-
 def planes(x) -> bytes:
     """Integers as compressed planes of bytes: high bytes are mostly zero."""
     import numpy as np
@@ -114,8 +111,8 @@ def staged(df: DataFrame, key: str, work: Callable[[list[dict]], list[dict]]) ->
                 yield emit(out)
 
     rest = [c for c in ("kind", "bucket", "batch") if c != key]
-    dealt = df.select(*COLS).repartition(partitions(df.sparkSession), key).sortWithinPartitions(key, *rest)
-    return dealt.mapInArrow(run, ROW)
+    dealt = df.select(*COLS).repartition(key).sortWithinPartitions(key, *rest)
+    return dealt.mapInArrow(trimmed(run), ROW)
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -130,7 +127,7 @@ def gather(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
         import numpy as np
         from pyspark import TaskContext
 
-        known = _words()
+        known = word_hashes()
         base, nth = TaskContext.get().partitionId() << 24, 0
         ids: list = []
         arrays: list = []
@@ -161,7 +158,7 @@ def gather(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
         if ids:
             yield close()
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, ROW)
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), ROW)
 
 
 def ask_words(docs: DataFrame, buckets: int) -> DataFrame:
@@ -177,7 +174,7 @@ def ask_words(docs: DataFrame, buckets: int) -> DataFrame:
                 out = [row(r["batch"], k, REQUEST, a=words[p].tobytes(), b=planes(counts[p])) for k in range(buckets) if len(p := order[cuts[k] : cuts[k + 1]])]
                 yield emit(out)
 
-    return docs.mapInArrow(run, ROW)
+    return docs.mapInArrow(trimmed(run), ROW)
 
 
 def counts_of_counts(c):
@@ -217,7 +214,7 @@ def statistics(df: DataFrame) -> list[int]:
                 total += np.frombuffer(x, np.int64)
         yield pa.record_batch([pa.array([v]) for v in total.tolist()], names=[f"s{i}" for i in range(n)])
 
-    sums = df.filter(F.col("kind") == STATS).select("a").mapInArrow(run, ", ".join(f"s{i} long" for i in range(n)))
+    sums = df.filter(F.col("kind") == STATS).select("a").mapInArrow(trimmed(run), ", ".join(f"s{i} long" for i in range(n)))
     return [v or 0 for v in sums.agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(n)]).first()]
 
 
@@ -263,7 +260,7 @@ class Batch:
     def __init__(self, group: list[dict], word_buckets: int, buckets: int, hot: int, split: int):
         import numpy as np
 
-        docs = group[0]
+        docs, self.hot = group[0], hot
         self.ids, self.batch = docs["ids"], docs["batch"]
         self.lens = np.frombuffer(docs["a"], np.uint32).astype(np.int64)
         self.train = np.frombuffer(docs["b"], np.uint8)
@@ -302,7 +299,7 @@ class Batch:
 
         o = self.order
         seen = np.bincount(self.at, weights=np.repeat(self.train, self.lens), minlength=len(o)).astype(np.uint32)[o]
-        c1, c2 = self.count[self.w1][o], self.count[self.w2][o]
+        big, c2 = (self.count[self.w1] > self.hot)[o], self.count[self.w2][o]
         out = []
         for k in range(len(self.cuts) - 1):
             s = slice(self.cuts[k], self.cuts[k + 1])
@@ -310,13 +307,14 @@ class Batch:
                 continue
             starts = np.flatnonzero(self.new[s])
             runs = np.diff(np.append(starts, s.stop - s.start))
-            out.append(row(self.batch, k, REQUEST, a=six(self.h1[s][starts]), b=planes(runs.astype(np.uint32)), c=planes(c1[s][starts].astype(np.uint64)), d=six(self.key[s]), e=planes(seen[s]), f=planes(c2[s].astype(np.uint64))))
+            out.append(row(self.batch, k, REQUEST, a=six(self.h1[s][starts]), b=planes(runs.astype(np.uint32)), c=planes(big[s][starts].astype(np.uint8)), d=six(self.key[s]), e=planes(seen[s]), f=planes(c2[s].astype(np.uint64))))
         return out
 
 
 def count_pairs(group: list[dict]) -> list[dict]:
-    """A bucket: merges the batches' bigram counts to a model row; answers with counts and the
-    places of the contexts."""
+    """A bucket: merges the batches' bigram counts to a model row, which also keeps, for every
+    request in its order, the counts and the places of its contexts. A context's own count is the
+    sum of its bigrams', as every token has one before it."""
     import numpy as np
 
     k = group[0]["bucket"]
@@ -324,24 +322,24 @@ def count_pairs(group: list[dict]) -> list[dict]:
     runs = [unplanes(r["b"], np.uint32) for r in group]
     contexts, place = np.unique(np.concatenate(h1), return_inverse=True)
     _, first, at = np.unique(np.concatenate([unsix(r["d"]) for r in group]), return_index=True, return_inverse=True)
+    at = at.astype(np.int32)
     total = np.bincount(at, weights=np.concatenate([unplanes(r["e"], np.uint32) for r in group])).astype(np.uint32)
-    c1 = np.zeros(len(contexts), np.uint64)
-    c1[place] = np.concatenate([unplanes(r["c"], np.uint64) for r in group])
-    owner = np.repeat(place, np.concatenate(runs))[first].astype(np.uint32)
+    big = np.zeros(len(contexts), np.uint8)
+    big[place] = np.concatenate([unplanes(r["c"], np.uint8) for r in group])
+    owner = np.repeat(place.astype(np.uint32), np.concatenate(runs))[first]
     c2 = np.concatenate([unplanes(r["f"], np.uint64) for r in group])[first]
     seen = np.flatnonzero(total)
     seen = seen[np.argsort(owner[seen], kind="stable")]  # by context, so that only their numbers are kept
     size = np.bincount(owner[seen], minlength=len(contexts)).astype(np.uint32)
-    out = [
-        row(-1, k, STATS, a=np.array([int(total.sum()), len(seen), *counts_of_counts(total)], np.int64).tobytes()),
-        row(-1, k, MODEL, a=six(contexts), b=planes(c1), c=planes(size), d=planes(total[seen]), e=planes(c2[seen])),
-    ]
-    lo = hi = 0
+    asked, lo, hi = [], 0, 0
     for r, h, n in zip(group, h1, runs, strict=True):
         m = int(n.sum())
-        out.append(row(r["batch"], k, REQUEST, a=planes(total[at[lo : lo + m]]), b=planes(place[hi : hi + len(h)].astype(np.uint32)), c=r["b"]))
+        asked.append((planes(total[at[lo : lo + m]]), planes(place[hi : hi + len(h)].astype(np.uint32)), r["b"]))
         lo, hi = lo + m, hi + len(h)
-    return out
+    return [
+        row(-1, k, STATS, a=np.array([int(total.sum()), len(seen), *counts_of_counts(total)], np.int64).tobytes()),
+        row(-1, k, MODEL, [r["batch"] for r in group], a=six(contexts), b=planes(big), c=planes(size), d=planes(total[seen]), e=planes(c2[seen]), f=pickle.dumps(asked)),
+    ]
 
 
 def alphas(c1, used, mass):
@@ -357,30 +355,32 @@ def alphas(c1, used, mass):
     return np.where(raised, -alpha, alpha)
 
 
-def weigh(discount, uni: Unigrams, hot: int) -> Callable[[list[dict]], list[dict]]:
-    """A bucket: backoff weights of its contexts, sent along with the counts. Hot contexts are
-    spread over buckets and only their sums leave."""
+def weigh(model: DataFrame, discount, uni: Unigrams) -> DataFrame:
+    """Answers to the batches: each bucket's backoff weights beside its counts, where the bucket
+    lies. Hot contexts are spread over buckets and only their sums leave."""
 
-    def work(group: list[dict]) -> list[dict]:
+    def work(m: dict) -> Iterator[dict]:
         import numpy as np
 
-        m = group[0]
-        assert m["kind"] == MODEL
-        h1, c1 = unsix(m["a"]), unplanes(m["b"], np.uint64)
+        h1, big = unsix(m["a"]), unplanes(m["b"], np.uint8) > 0
         owner, total = np.repeat(np.arange(len(h1)), unplanes(m["c"], np.uint32)), unplanes(m["d"], np.uint32)
+        c1 = np.bincount(owner, weights=total, minlength=len(h1))
         used = np.bincount(owner, weights=discount[np.minimum(total, K + 1)] * total, minlength=len(h1))
         mass = np.bincount(owner, weights=uni.p(unplanes(m["e"], np.uint64)), minlength=len(h1))
+        del owner, total
         alpha = alphas(c1, used, mass)
-        big = c1 > hot
         alpha[big] = np.nan
-        out = []
         if big.any():
-            out.append(row(-1, m["bucket"], HOT, a=h1[big].tobytes(), b=used[big].tobytes(), c=mass[big].tobytes(), d=c1[big].tobytes()))
-        for r in group[1:]:
-            out.append(row(r["batch"], r["bucket"], PAIR_ANSWER, a=r["a"], b=alpha[unplanes(r["b"], np.uint32)].tobytes(), c=r["c"]))
-        return out
+            yield row(-1, m["bucket"], HOT, a=h1[big].tobytes(), b=used[big].tobytes(), c=mass[big].tobytes(), d=c1[big].tobytes())
+        for batch, (counts, places, runs) in zip(m["ids"], pickle.loads(m["f"]), strict=True):
+            yield row(batch, m["bucket"], PAIR_ANSWER, a=counts, b=alpha[unplanes(places, np.uint32)].tobytes(), c=runs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(len(b)):
+                yield emit(list(work(b.slice(i, 1).to_pylist()[0])))
 
-    return work
+    return model.filter(F.col("kind") == MODEL).select(*COLS).mapInArrow(trimmed(run), ROW)
 
 
 def hot_alphas(df: DataFrame) -> dict[int, float]:
@@ -390,11 +390,11 @@ def hot_alphas(df: DataFrame) -> dict[int, float]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                parts = [np.frombuffer(r[c], t) for c, t in (("a", np.int64), ("b", np.float64), ("c", np.float64), ("d", np.int64))]
+                parts = [np.frombuffer(r["a"], np.int64), *(np.frombuffer(r[c], np.float64) for c in "bcd")]
                 yield pa.record_batch([pa.array(p) for p in parts], names=["h", "used", "mass", "c1"])
 
-    rows = df.filter(F.col("kind") == HOT).select("a", "b", "c", "d").mapInArrow(run, "h long, used double, mass double, c1 long")
-    got = rows.groupBy("h").agg(F.sum("used"), F.sum("mass"), F.max("c1")).collect()
+    rows = df.filter(F.col("kind") == HOT).select("a", "b", "c", "d").mapInArrow(trimmed(run), "h long, used double, mass double, c1 double")
+    got = rows.groupBy("h").agg(F.sum("used"), F.sum("mass"), F.sum("c1")).collect()
     if not got:
         return {}
     h, used, mass, c1 = (np.array(x) for x in zip(*got, strict=True))
@@ -414,19 +414,19 @@ def score_docs(df: DataFrame, word_buckets: int, buckets: int, hot: int, split:
         for group in grouped(batches, "batch"):
             b = Batch(group, word_buckets, buckets, hot, split)
             answers = [r for r in group if r["kind"] == PAIR_ANSWER]
-            c12 = np.concatenate([unplanes(r["a"], np.uint32) for r in answers]).astype(np.float64)
-            runs = np.concatenate([unplanes(r["c"], np.uint32) for r in answers])
-            alpha = np.repeat(np.concatenate([np.frombuffer(r["b"]) for r in answers]), runs)
-            for i in np.flatnonzero(np.isnan(alpha)):
-                alpha[i] = hot_alpha[int(b.h1[i] & np.uint64((1 << 48) - 1))]
-            o = b.order
-            c1 = b.count[b.w1][o].astype(np.float64)
-            p2 = uni.p(b.count[b.w2][o])
-            total = c1 + (alpha < 0)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                p = np.where(c12 > 0, discount[np.minimum(c12, K + 1).astype(int)] * c12 / total, np.where(c1 > 0, np.abs(alpha) * p2, p2))
-            logs = np.empty(len(o))
-            logs[o] = np.log10(p)
+            group.clear()
+            logs, lo = np.empty(len(b.order)), 0
+            for r in answers:  # a bucket's part of the batch's bigrams at a time
+                c12 = unplanes(r["a"], np.uint32)
+                o = b.order[lo : lo + len(c12)]
+                alpha = np.repeat(np.frombuffer(r["b"]), unplanes(r["c"], np.uint32))
+                for i in np.flatnonzero(np.isnan(alpha)):
+                    alpha[i] = hot_alpha[int(b.h1[lo + i] & np.uint64((1 << 48) - 1))]
+                c1, p2 = b.count[b.w1[o]], uni.p(b.count[b.w2[o]])
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    p = np.where(c12 > 0, discount[np.minimum(c12, K + 1)] * c12 / (c1 + (alpha < 0)), np.where(c1 > 0, np.abs(alpha) * p2, p2))
+                logs[o] = np.log10(p)
+                lo += len(c12)
             starts = np.cumsum(b.lens) - b.lens
             score = np.add.reduceat(logs[b.at], starts)
             count = b.count[b.tokens]
@@ -439,8 +439,8 @@ def score_docs(df: DataFrame, word_buckets: int, buckets: int, hot: int, split:
                 names=[c.split()[0] for c in OUT.split(", ")],
             )
 
-    dealt = df.select(*COLS).repartition(partitions(df.sparkSession), "batch").sortWithinPartitions("batch", "kind", "bucket")
-    return dealt.mapInArrow(run, OUT)
+    dealt = df.select(*COLS).repartition("batch").sortWithinPartitions("batch", "kind", "bucket")
+    return dealt.mapInArrow(trimmed(run), OUT)
 
 
 def katz_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: int = BATCH, bucket: int = BUCKET, hot_tokens: int = HOT_TOKENS) -> DataFrame:
@@ -460,7 +460,7 @@ def katz_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     asked = staged(docs.unionByName(answers), "batch", lambda g: Batch(g, word_buckets, buckets, hot, hot_tokens).requests())
     model = write_table(staged(asked, "bucket", count_pairs), "katz-pairs")
     discount = discounts(statistics(model)[2:])
-    found = write_table(staged(model.filter(F.col("kind").isin(MODEL, REQUEST)), "bucket", weigh(discount, uni, hot)), "katz-answers")
+    found = write_table(weigh(model, discount, uni), "katz-answers")
     hot_alpha = hot_alphas(found)
     drop_table(model)
     whole = docs.unionByName(answers).unionByName(found.filter(F.col("kind") == PAIR_ANSWER))
