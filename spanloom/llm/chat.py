@@ -1,9 +1,12 @@
 """Chat formatting with built-in functions only.
 
 A template names, for each role, the text put before and after a turn and whether the turn's own
-text is under the loss mask; a transition table is a finite-state machine over roles. Control
-strings inside texts and roles are escaped with a backslash, reversibly: in escaped text none of
-them occurs, so markers written by the template are the only ones.
+text is under the loss mask; a transition table is a finite-state machine over roles. Markers and
+other control strings inside texts and roles are escaped with a backslash after their first
+character, reversibly: in escaped text none of them occurs, so markers written by the template are
+the only ones. Each turn becomes text segments with a flag that says whether the loss counts them;
+what is formatted is the segments' texts one after the other, and what is learned from is read by
+the flags.
 
 ``segments`` works row by row and has no limit of size. ``conversations`` gathers whole
 conversations; it does so in two steps, first turns to chunks of ``CHUNK`` turn numbers and then
@@ -30,7 +33,9 @@ CHUNK = 64
 
 @dataclass(frozen=True)
 class Template:
-    """Markers are built from ``open``/``shut``/``end``, which count as control strings too."""
+    """Markers are built from ``open``/``shut``/``end``, which count as control strings too. A control
+    string has two characters at least and no backslash; ``shut`` and ``end`` must not begin as
+    they end, or they could be read a place too early."""
 
     open: str = "<|"
     shut: str = "|>\n"
@@ -47,16 +52,31 @@ class Template:
     )
     accept: tuple[str, ...] = ("assistant",)
 
+    def __post_init__(self):
+        for c in self.escaped:
+            if len(c) < 2 or "\\" in c:
+                raise ValueError(f"no control string: {c!r}")
+        for c in (self.shut, self.end):
+            if any(c[:n] == c[-n:] for n in range(1, len(c))):
+                raise ValueError(f"begins as it ends: {c!r}")
+
+    @property
+    def escaped(self) -> tuple[str, ...]:
+        return (*self.controls, self.open, self.shut, self.end)
+
 
 DEFAULT = Template()
 
 
 def escape(col: Column, t: Template) -> Column:
-    """Backslash doubled, and one put after the first character of every control string."""
-    col = F.replace(col, F.lit("\\"), F.lit("\\\\"))
-    for c in t.controls:
-        col = F.replace(col, F.lit(c), F.lit(c[0] + "\\" + c[1:]))
-    return col
+    """Backslashes doubled, and one put after the first character of every control string, also
+    where they overlap."""
+    starts: dict[str, list[str]] = {}
+    for c in t.escaped:
+        starts.setdefault(c[0], []).append(c[1:])
+    quote = lambda x: "".join(f"\\x{{{ord(c):x}}}" for c in x)
+    pattern = "|".join(f"{quote(a)}(?={'|'.join(map(quote, dict.fromkeys(rests)))})" for a, rests in starts.items())
+    return F.regexp_replace(F.replace(col, F.lit("\\"), F.lit("\\\\")), pattern, "$0\\\\")
 
 
 def unescape(col: Column) -> Column:
@@ -98,7 +118,8 @@ def conversations(df: DataFrame, template: Template = DEFAULT) -> DataFrame:
     rows = df.select("conv_id", key.alias("t"))
     rows = rows.withColumn("chunk", F.floor(F.col("t.turn") / CHUNK))
     chunks = rows.groupBy("conv_id", "chunk").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    chunks = chunks.withColumn("formatted", F.array_join(F.transform("ts", lambda x: F.array_join(F.transform(_segments(x["role"], x["text"], t), lambda s: s["text"]), "")), ""))
+    chunks = chunks.withColumn("segments", F.flatten(F.transform("ts", lambda x: _segments(x["role"], x["text"], t))))
+    chunks = chunks.withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
     chunks = chunks.withColumn("parsed", _parse(F.col("formatted"), t))
     bad = len(t.states) - 1
     moves = F.create_map(*[F.lit(x) for (s, role), to in t.moves.items() for x in (f"{t.states.index(s)} {role}", t.states.index(to))])
@@ -110,7 +131,7 @@ def conversations(df: DataFrame, template: Template = DEFAULT) -> DataFrame:
     chunks = chunks.select(
         "conv_id", "chunk", F.size("parsed").cast("long").alias("n"), F.length("formatted").cast("long").alias("chars"), runs.alias("runs"),
         F.array_join(F.transform("parsed", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "").alias("turns_text"),
-        F.array_join(F.transform(F.filter("parsed", lambda x: x["role"].isin(*t.loss_roles)), lambda x: x["text"]), "").alias("loss_text"),
+        unescape(F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: s["text"]), "")).alias("loss_text"),
     )
     whole = chunks.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "runs", "turns_text", "loss_text"))).alias("cs"), F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"))
     last = F.aggregate("cs", F.lit(0), lambda state, c: F.element_at(c["runs"], state + 1))
