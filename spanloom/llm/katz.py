@@ -16,8 +16,8 @@ the requests. Requests are distinct within a batch, so frequent words are no hot
 with very many tokens is cut over several buckets, and its sums are added. Bigram counts and
 backoff weights are tables partitioned by bucket. Sizes: a bucket gets about BUCKET requests.
 
-Words are known by 64-bit hashes; within their bucket contexts and bigrams go by 48 bits, and are
-not confirmed by their texts. A bucket holds about BUCKET bigrams at any size of the corpus, so two
+Words are known by 56-bit hashes: of a billion distinct ones about 14 are taken for another. Within
+their bucket contexts and bigrams go by 48 bits. Neither is confirmed by texts. A bucket holds about BUCKET bigrams at any size of the corpus, so two
 of them are taken for one with probability BUCKET^2 / 2^49 < 0.001 a bucket: of a billion bigrams
 about one is merged with another.
 
@@ -34,6 +34,7 @@ from __future__ import annotations
 import pickle
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -42,7 +43,9 @@ from pyspark.sql import functions as F
 from spanloom.llm.minhash import mix, word_hashes
 from spanloom.llm.shared import drop_table, read, trimmed, tune, write_table
 
-BATCH, BUCKET, HOT_TOKENS, HOT_SHARE = 1_200_000, 600_000, 2_000_000, 100_000
+BATCH, BUCKET, HOT_TOKENS, HOT_SHARE = 1_600_000, 600_000, 2_000_000, 100_000
+#: Bytes by which words, and within their bucket contexts and bigrams, are known.
+WORD_BYTES, PAIR_BYTES = 7, 6
 K = 5
 END = b"\n"
 ROW = "batch long, bucket int, kind int, ids array<long>, a binary, b binary, c binary, d binary, e binary, f binary"
@@ -52,32 +55,39 @@ SCHEMA = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("kind", pa.i
 DOCS, WORD_ANSWER, PAIR_ANSWER, MODEL, REQUEST, STATS, HOT = range(7)
 
 
+@lru_cache(maxsize=1)
+def _zstd():
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=9), zstandard.ZstdDecompressor()
+
+
 def planes(x) -> bytes:
     """Integers as compressed planes of bytes: high bytes are mostly zero."""
     import numpy as np
 
-    return zlib.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T), 1)
+    return _zstd()[0].compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
 
 
 def unplanes(b: bytes, kind):
     import numpy as np
 
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(b), np.uint8).reshape(size, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(np.frombuffer(_zstd()[1].decompress(b), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def six(x) -> bytes:
-    """The low 48 bits of each integer."""
+def low(x, size: int) -> bytes:
+    """The low bytes of each integer."""
     import numpy as np
 
-    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
 
 
-def unsix(b: bytes):
+def wide(b: bytes, size: int):
     import numpy as np
 
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(b) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(b, np.uint8).reshape(-1, size)
     return out.view(np.uint64).ravel()
 
 
@@ -127,7 +137,7 @@ def gather(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
         import numpy as np
         from pyspark import TaskContext
 
-        known = word_hashes()
+        known, mask = word_hashes(), np.uint64((1 << 8 * WORD_BYTES) - 1)
         base, nth = TaskContext.get().partitionId() << 24, 0
         ids: list = []
         arrays: list = []
@@ -143,14 +153,14 @@ def gather(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
             words, at = words[order], rank[at]
             counts = np.bincount(at, weights=np.repeat(train, lens), minlength=len(words)).astype(np.uint32)
             tokens = planes(at)
-            return emit([row(base + nth, 0, DOCS, ids, a=lens.tobytes(), b=train.tobytes(), c=tokens, d=words.tobytes(), e=planes(counts))])
+            return emit([row(base + nth, 0, DOCS, ids, a=lens.tobytes(), b=train.tobytes(), c=tokens, d=low(words, WORD_BYTES), e=planes(counts))])
 
         for b in batches:
             for i, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 ws = (text or b"").lower().split()
                 ws.append(END)
                 ids.append(i)
-                arrays.append(np.fromiter(map(known.__getitem__, ws), np.uint64, len(ws)))
+                arrays.append(np.fromiter(map(known.__getitem__, ws), np.uint64, len(ws)) & mask)
                 n += len(ws)
                 if n >= size:
                     yield close()
@@ -167,11 +177,11 @@ def ask_words(docs: DataFrame, buckets: int) -> DataFrame:
 
         for b in batches:
             for r in b.to_pylist():
-                words, counts = np.frombuffer(r["d"], np.uint64), unplanes(r["e"], np.uint32)
+                words, counts = wide(r["d"], WORD_BYTES), unplanes(r["e"], np.uint32)
                 where = (words % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(where, kind="stable")
                 cuts = np.searchsorted(where[order], np.arange(buckets + 1))
-                out = [row(r["batch"], k, REQUEST, a=words[p].tobytes(), b=planes(counts[p])) for k in range(buckets) if len(p := order[cuts[k] : cuts[k + 1]])]
+                out = [row(r["batch"], k, REQUEST, a=low(words[p], WORD_BYTES), b=planes(counts[p])) for k in range(buckets) if len(p := order[cuts[k] : cuts[k + 1]])]
                 yield emit(out)
 
     return docs.mapInArrow(trimmed(run), ROW)
@@ -187,7 +197,7 @@ def answer_words(group: list[dict]) -> list[dict]:
     """A bucket: total counts for every request, in its order; and the bucket's statistics."""
     import numpy as np
 
-    words = np.concatenate([np.frombuffer(r["a"], np.uint64) for r in group])
+    words = np.concatenate([wide(r["a"], WORD_BYTES) for r in group])
     counts = np.concatenate([unplanes(r["b"], np.uint32) for r in group])
     _, at = np.unique(words, return_inverse=True)
     total = np.bincount(at, weights=counts).astype(np.uint64)
@@ -195,7 +205,7 @@ def answer_words(group: list[dict]) -> list[dict]:
     k = group[0]["bucket"]
     out = [row(-1, k, STATS, a=np.array([total.sum(), (total > 0).sum(), *counts_of_counts(total)], np.int64).tobytes())]
     for r in group:
-        n = len(r["a"]) // 8
+        n = len(r["a"]) // WORD_BYTES
         out.append(row(r["batch"], k, WORD_ANSWER, a=planes(answers[lo : lo + n])))
         lo += n
     return out
@@ -265,7 +275,7 @@ class Batch:
         self.lens = np.frombuffer(docs["a"], np.uint32).astype(np.int64)
         self.train = np.frombuffer(docs["b"], np.uint8)
         self.tokens = unplanes(docs["c"], np.uint32)
-        words = np.frombuffer(docs["d"], np.uint64)
+        words = wide(docs["d"], WORD_BYTES)
         where = (words % np.uint64(word_buckets)).astype(np.int64)
         counts = [unplanes(r["a"], np.uint64) for r in group if r["kind"] == WORD_ANSWER]
         self.count = np.empty(len(words), np.int64)
@@ -307,7 +317,7 @@ class Batch:
                 continue
             starts = np.flatnonzero(self.new[s])
             runs = np.diff(np.append(starts, s.stop - s.start))
-            out.append(row(self.batch, k, REQUEST, a=six(self.h1[s][starts]), b=planes(runs.astype(np.uint32)), c=planes(big[s][starts].astype(np.uint8)), d=six(self.key[s]), e=planes(seen[s]), f=planes(c2[s].astype(np.uint64))))
+            out.append(row(self.batch, k, REQUEST, a=low(self.h1[s][starts], PAIR_BYTES), b=planes(runs.astype(np.uint32)), c=planes(big[s][starts].astype(np.uint8)), d=low(self.key[s], PAIR_BYTES), e=planes(seen[s]), f=planes(c2[s].astype(np.uint64))))
         return out
 
 
@@ -318,10 +328,10 @@ def count_pairs(group: list[dict]) -> list[dict]:
     import numpy as np
 
     k = group[0]["bucket"]
-    h1 = [unsix(r["a"]) for r in group]
+    h1 = [wide(r["a"], PAIR_BYTES) for r in group]
     runs = [unplanes(r["b"], np.uint32) for r in group]
     contexts, place = np.unique(np.concatenate(h1), return_inverse=True)
-    _, first, at = np.unique(np.concatenate([unsix(r["d"]) for r in group]), return_index=True, return_inverse=True)
+    _, first, at = np.unique(np.concatenate([wide(r["d"], PAIR_BYTES) for r in group]), return_index=True, return_inverse=True)
     at = at.astype(np.int32)
     total = np.bincount(at, weights=np.concatenate([unplanes(r["e"], np.uint32) for r in group])).astype(np.uint32)
     big = np.zeros(len(contexts), np.uint8)
@@ -338,7 +348,7 @@ def count_pairs(group: list[dict]) -> list[dict]:
         lo, hi = lo + m, hi + len(h)
     return [
         row(-1, k, STATS, a=np.array([int(total.sum()), len(seen), *counts_of_counts(total)], np.int64).tobytes()),
-        row(-1, k, MODEL, [r["batch"] for r in group], a=six(contexts), b=planes(big), c=planes(size), d=planes(total[seen]), e=planes(c2[seen]), f=pickle.dumps(asked)),
+        row(-1, k, MODEL, [r["batch"] for r in group], a=low(contexts, PAIR_BYTES), b=planes(big), c=planes(size), d=planes(total[seen]), e=planes(c2[seen]), f=pickle.dumps(asked)),
     ]
 
 
@@ -362,7 +372,7 @@ def weigh(model: DataFrame, discount, uni: Unigrams) -> DataFrame:
     def work(m: dict) -> Iterator[dict]:
         import numpy as np
 
-        h1, big = unsix(m["a"]), unplanes(m["b"], np.uint8) > 0
+        h1, big = wide(m["a"], PAIR_BYTES), unplanes(m["b"], np.uint8) > 0
         owner, total = np.repeat(np.arange(len(h1)), unplanes(m["c"], np.uint32)), unplanes(m["d"], np.uint32)
         c1 = np.bincount(owner, weights=total, minlength=len(h1))
         used = np.bincount(owner, weights=discount[np.minimum(total, K + 1)] * total, minlength=len(h1))
@@ -446,7 +456,7 @@ def score_docs(df: DataFrame, word_buckets: int, buckets: int, hot: int, split:
 def katz_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: int = BATCH, bucket: int = BUCKET, hot_tokens: int = HOT_TOKENS) -> DataFrame:
     """One row per row of ``df``: (id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
     docs = write_table(gather(df, id_col, text_col, batch), "katz-batches")
-    sizes = docs.select(F.sum(F.length("d") / 8).cast("long"), F.sum(F.aggregate("ids", F.lit(0).cast("long"), lambda s, _: s + 1))).first()
+    sizes = docs.select(F.sum(F.length("d") / WORD_BYTES).cast("long"), F.sum(F.aggregate("ids", F.lit(0).cast("long"), lambda s, _: s + 1))).first()
     if not sizes[1]:
         return df.sparkSession.createDataFrame([], OUT).withColumnRenamed("id", id_col)
     word_buckets = -(-sizes[0] // bucket)
