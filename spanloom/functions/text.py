@@ -1,10 +1,8 @@
-"""Text scalars as column expressions. Only NFKC, which Spark SQL lacks, is an Arrow UDF, and it
-runs only on texts that hold a character outside ASCII."""
+"""Text scalars as column expressions. NFKC, which Spark SQL lacks, is taken from the ICU library
+that Spark's collations use, in the JVM, for texts that hold a character outside ASCII."""
 
 from __future__ import annotations
 
-import unicodedata
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,10 +13,8 @@ LETTER = "A-Za-zÀ-ɏ"
 
 
 def nfkc(col: Column) -> Column:
-    def form(s):
-        return None if s is None else unicodedata.normalize("NFKC", s)
-
-    return F.when(col.rlike("[^\\x00-\\x7f]"), F.udf(form, "string", useArrow=True)(col)).otherwise(col)
+    form = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), col, F.lit(True))
+    return F.when(col.rlike("[^\\x00-\\x7f]"), form).otherwise(col)
 
 
 def normalize_text(col: Column, compat: bool = True) -> Column:
@@ -74,11 +70,11 @@ def is_line_break(px0: Column, py0: Column, x0: Column, y0: Column) -> Column:
 
 
 def merges_hyphen(prev: Column, cur: Column) -> Column:
-    """Whether a line's last word and the next line's first are two halves of one word."""
-    prefix = F.regexp_extract(prev, f"([{LETTER}]+)-\\z", 1)
-    low = F.lower(prefix)
-    long_enough = (F.length(prefix) >= 4) | (low == "vol") | ((F.length(prefix) >= 3) & prefix.rlike("^\\p{Lu}"))
-    return F.coalesce(prev.endswith("-") & cur.rlike("^\\p{Ll}") & ~low.isin(*COMPOUND_PREFIXES) & long_enough, F.lit(False))
+    """Whether a line's last word and the next line's first are two halves of one word: the whole
+    piece before the hyphen is no prefix of a compound and long enough, a capital counting for a letter."""
+    prefix = F.lower(F.substring(prev, F.lit(1), F.length(prev) - 1))
+    long_enough = (F.length(prefix) >= 4) | (prefix == "vol") | ((F.length(prefix) >= 3) & prev.rlike("^\\p{Lu}"))
+    return F.coalesce(prev.endswith("-") & cur.rlike("^\\p{Ll}") & ~prefix.isin(*COMPOUND_PREFIXES) & long_enough, F.lit(False))
 
 
 def label_matches(label: Column, target: Column) -> Column:
@@ -88,3 +84,14 @@ def label_matches(label: Column, target: Column) -> Column:
 
 def fmt_bbox(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return F.format_string("(%s, %s, %s, %s)", *[F.bround(c, 0).cast("long").cast("string") for c in (x0, y0, x1, y1)])
+
+
+def clip(box: tuple, page: tuple) -> Column:
+    """The part of a box on its page, as a struct; null if there is none."""
+    x0, y0, x1, y1 = F.greatest(box[0], page[0]), F.greatest(box[1], page[1]), F.least(box[2], page[2]), F.least(box[3], page[3])
+    return F.when((x1 > x0) & (y1 > y0), F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1")))
+
+
+def control_characters(col: Column, known: str) -> Column:
+    """array<string>: control characters of a text that are no white space and not among ``known``."""
+    return F.filter(F.regexp_extract_all(col, F.lit("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]"), F.lit(0)), lambda c: ~F.lit(known).contains(c))

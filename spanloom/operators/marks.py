@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.config import DEFAULT, Config
+from spanloom.config import DEFAULT, SUBSTITUTIONS, Config
 from spanloom.functions.geometry import area, overlap_ratio
-from spanloom.functions.text import clean_display, is_line_break, merges_hyphen, normalize_text
+from spanloom.functions.text import clean_display, control_characters, is_line_break, merges_hyphen, normalize_text
 
 PAGE = ["doc_id", "page_no"]
 
@@ -77,17 +77,18 @@ def passages(words: DataFrame, rects: DataFrame, hits: DataFrame, conf: Config =
 
 
 def joined_text(ws):
-    """One string of sorted word structs (word_idx, text, x0, y0): cleaned, hyphenated halves merged."""
-    kind = "struct<out:string,x0:double,y0:double>"
+    """One string of sorted word structs (word_idx, text, x0, y0): cleaned, hyphenated halves merged.
+    Words that are empty once cleaned count as not there."""
+    kind = "struct<head:string,last:string,x0:double,y0:double>"
 
     def step(acc, w):
-        text = clean_display(w["text"], compat=False)
-        piece = F.regexp_extract(acc["out"], "(\\S+)\\z", 1)
-        merge = is_line_break(acc["x0"], acc["y0"], w["x0"], w["y0"]) & merges_hyphen(piece, text)
-        out = F.when(text == "", acc["out"]).when(acc["out"] == "", text).when(merge, F.concat(F.regexp_replace(acc["out"], "-\\z", ""), text)).otherwise(F.concat(acc["out"], F.lit(" "), text))
-        return F.struct(out.alias("out"), w["x0"].alias("x0"), w["y0"].alias("y0")).cast(kind)
+        text = clean_display(w["text"])
+        merge = is_line_break(acc["x0"], acc["y0"], w["x0"], w["y0"]) & merges_hyphen(acc["last"], text)
+        head = F.when(merge | (acc["last"] == ""), acc["head"]).otherwise(F.concat(acc["head"], acc["last"], F.lit(" ")))
+        last = F.when(merge, F.concat(F.substring(acc["last"], F.lit(1), F.length(acc["last"]) - 1), text)).otherwise(text)
+        return F.when(text == "", acc).otherwise(F.struct(head.alias("head"), last.alias("last"), w["x0"].alias("x0"), w["y0"].alias("y0")).cast(kind))
 
-    return F.aggregate(ws, F.from_json(F.lit('{"out":""}'), kind), step, lambda a: a["out"])
+    return F.aggregate(ws, F.from_json(F.lit('{"head":"","last":""}'), kind), step, lambda a: F.concat(a["head"], a["last"]))
 
 
 def highlights(words: DataFrame, rects: DataFrame, conf: Config = DEFAULT) -> DataFrame:
@@ -110,6 +111,42 @@ def highlights(words: DataFrame, rects: DataFrame, conf: Config = DEFAULT) -> Da
     return out.join(boxes, [*PAGE, "color", "passage"])
 
 
+def image_highlights(rects: DataFrame, hits: DataFrame, conf: Config = DEFAULT) -> DataFrame:
+    """(doc_id, page_no, color, passage, x0, y0, x1, y1): islands of large rects that mark no word."""
+    islands = vertical_islands(image_rects(rects, hits, conf), conf).groupBy(*PAGE, "color", F.col("island").alias("passage"))
+    return islands.agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+
+
+def extract(words: DataFrame, rects: DataFrame, conf: Config = DEFAULT) -> DataFrame:
+    """All highlights of a document in order: (doc_id, seq, page_no, color, is_image, raw_text,
+    context_before, context_after, x0, y0, x1, y1). Colours come in the order of their first rect
+    on the page; of a colour, passages of text before pictures."""
+    none = F.lit("")
+    text = highlights(words, rects, conf).withColumnRenamed("text", "raw_text").withColumn("is_image", F.lit(False))
+    image = image_highlights(rects, word_rect_hits(words, rects, conf), conf)
+    image = image.select("*", F.lit(True).alias("is_image"), none.alias("raw_text"), none.alias("context_before"), none.alias("context_after"))
+    order = rects.groupBy(*PAGE, "color").agg(F.min("rect_id").alias("color_first"))
+    both = text.unionByName(image).join(order, [*PAGE, "color"])
+    w = Window.partitionBy("doc_id").orderBy("page_no", "color_first", "is_image", "passage")
+    return both.withColumn("seq", (F.row_number().over(w) - 1).cast("long")).drop("color_first", "passage")
+
+
+def extract_stats(rects: DataFrame, extracted: DataFrame) -> DataFrame:
+    """(doc_id, raw_rects, n_text, n_image, by_color): by_color a JSON object of counts."""
+    n = rects.groupBy("doc_id").agg(F.count("*").alias("raw_rects"))
+    each = extracted.groupBy("doc_id", "color").agg(F.count_if(~F.col("is_image")).alias("t"), F.count_if("is_image").alias("i"))
+    colors = F.array_sort(F.collect_list(F.struct("color", (F.col("t") + F.col("i")).alias("n"))))
+    found = each.groupBy("doc_id").agg(F.sum("t").alias("n_text"), F.sum("i").alias("n_image"), F.to_json(F.map_from_entries(colors)).alias("by_color"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return n.join(found, "doc_id", "left").select("doc_id", "raw_rects", zero("n_text"), zero("n_image"), F.coalesce("by_color", F.lit("{}")).alias("by_color"))
+
+
+def control_census(texts: DataFrame, text: str = "text", known: str = "".join(SUBSTITUTIONS)) -> DataFrame:
+    """(code, n): control characters that no repair knows, with their counts."""
+    found = texts.select(F.explode(control_characters(F.col(text), known)).alias("c"))
+    return found.groupBy(F.ascii("c").alias("code")).agg(F.count("*").alias("n"))
+
+
 def context_windows(words: DataFrame, n: int = DEFAULT.context_words) -> DataFrame:
     """Each word with the n words before and after it on its page."""
     w = Window.partitionBy(*PAGE).orderBy("word_idx")
@@ -131,11 +168,12 @@ def page_text(words: DataFrame) -> DataFrame:
     return norm.groupBy(*PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list("w")), lambda x: x["norm"]), " ").alias("norm_text"))
 
 
-def line_quads(words: DataFrame, hits: DataFrame) -> DataFrame:
-    """(doc_id, page_no, quad, x0, y0, x1, y1): runs of marked words on a line, merged over gaps of
-    at most 2.5 line heights or 18 points. Height is the run's so far, hence a fold."""
-    marked = words.join(hits.select(*PAGE, "word_idx").distinct(), [*PAGE, "word_idx"], "left_semi")
-    rows = marked.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("word_idx", "block_no", "line_no", "x0", "y0", "x1", "y1"))).alias("ws"))
+def line_quads(words: DataFrame, hits: DataFrame, *keys: str) -> DataFrame:
+    """(doc_id, page_no, keys, quad, x0, y0, x1, y1): runs of marked words on a line, merged over gaps of
+    at most 2.5 line heights or 18 points. Height is the run's so far, hence a fold.
+    With ``keys`` of the hits, each key's words by themselves."""
+    marked = words.join(hits.select(*PAGE, *keys, "word_idx").distinct(), [*PAGE, "word_idx"])
+    rows = marked.groupBy(*PAGE, *keys).agg(F.array_sort(F.collect_list(F.struct("word_idx", "block_no", "line_no", "x0", "y0", "x1", "y1"))).alias("ws"))
     kind = "array<struct<block_no:bigint,line_no:bigint,x0:double,y0:double,x1:double,y1:double>>"
 
     def step(acc, w):
@@ -152,4 +190,4 @@ def line_quads(words: DataFrame, hits: DataFrame) -> DataFrame:
         return F.when(goes_on, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), both)).otherwise(F.concat(acc, own))
 
     runs = F.aggregate("ws", F.array().cast(kind), step)
-    return rows.select(*PAGE, F.posexplode(runs).alias("quad", "q")).select(*PAGE, "quad", "q.x0", "q.y0", "q.x1", "q.y1")
+    return rows.select(*PAGE, *keys, F.posexplode(runs).alias("quad", "q")).select(*PAGE, *keys, "quad", "q.x0", "q.y0", "q.x1", "q.y1")

@@ -55,16 +55,6 @@ def clean_display_text(spark, d):
     return X.damaged(spark, d).select("doc_id", T.clean_display(F.col("raw")).alias("shown"))
 
 
-@query(r"""
-SELECT conv_id, turn, CAST(len(regexp_extract_all(text, '\s+[.,;:!?)]')) + len(regexp_extract_all(text, '[("'']\s+')) AS INT) AS score
-FROM (SELECT conv_id, turn, regexp_replace(text, '(\w)([.,])', '\1 \2', 'g') AS text FROM conversations) t
-WHERE NOT regexp_matches(text, '(^|[^\p{L}0-9_])\p{L}\s+\p{L}')""")
-def broken_output_score(spark, d):
-    text = F.regexp_replace("text", "([0-9A-Za-z_])([.,])", "$1 $2")
-    rows = X.table(spark, d, "conversations").select("conv_id", "turn", text.alias("text"))
-    return rows.filter(~F.col("text").rlike("(^|[^\\p{L}0-9_])\\p{L}\\s+\\p{L}")).select("conv_id", "turn", T.broken_output_score(F.col("text")).alias("score"))
-
-
 LONE = "(^|[^A-Za-zÀ-ɏ0-9_])[A-Za-zÀ-ɏ]"
 
 
@@ -72,30 +62,18 @@ LONE = "(^|[^A-Za-zÀ-ɏ0-9_])[A-Za-zÀ-ɏ]"
 SELECT conv_id, turn, CAST(len(regexp_extract_all(text, '\s+[.,;:!?)]')) + len(regexp_extract_all(text, '[(„“"'']\s+'))
        + len(regexp_extract_all(text, '{LONE}\s+[A-Za-zÀ-ɏ]{{2,}}')) + len(regexp_extract_all(text, '{LONE}\s+[A-Za-zÀ-ɏ]\s+[A-Za-zÀ-ɏ]')) AS INT) AS score
 FROM (SELECT conv_id, turn, regexp_replace(text, '(\w)([.,])', '\1 \2', 'g') AS text FROM conversations) t""")
-def broken_output_score_all(spark, d):
-    """Every turn by all four rules; broken_output_score is bound to its SQL, which leaves turns out."""
+def broken_output_score(spark, d):
     text = F.regexp_replace("text", "([0-9A-Za-z_])([.,])", "$1 $2")
     return X.table(spark, d, "conversations").select("conv_id", "turn", T.broken_output_score(text).alias("score"))
 
 
-@query(r"""
-WITH t AS (SELECT conv_id, turn, trim(string_split(text, chr(10))[1]) AS s FROM conversations),
-u AS (SELECT *, len(regexp_extract_all(s, '[0-9A-Za-zÀ-ɏ]+')) AS words, len(regexp_extract_all(s, '\p{L}')) AS letters, len(regexp_extract_all(s, '\p{Lu}')) AS upper FROM t)
-SELECT conv_id, turn, length(s) BETWEEN 1 AND 120 AND NOT regexp_matches(s, '[.!?;,]$') AND words BETWEEN 2 AND 12 AND letters > 0
-       AND (upper / greatest(letters, 1) >= 0.72 OR NOT regexp_matches(s, '(^|\s)[^\s0-9\p{Lu}]')) AS heading FROM u""")
-def heading_like(spark, d):
-    first_line = F.element_at(F.split("text", "\n"), 1)
-    return X.table(spark, d, "conversations").select("conv_id", "turn", T.heading_like(first_line).alias("heading"))
-
-
 @query(r"""
 WITH l AS (SELECT conv_id, turn, string_split(text, chr(10)) AS lines FROM conversations),
 t AS (SELECT conv_id, turn, CAST(unnest(range(len(lines))) AS INT) AS line, trim(unnest(lines)) AS s FROM l),
 u AS (SELECT *, len(regexp_extract_all(s, '[0-9A-Za-zÀ-ɏ]+')) AS words, len(regexp_extract_all(s, '\p{L}')) AS letters, len(regexp_extract_all(s, '\p{Lu}')) AS upper FROM t)
 SELECT conv_id, turn, line, length(s) BETWEEN 1 AND 120 AND NOT regexp_matches(s, '[.!?;,]$') AND words BETWEEN 2 AND 12 AND letters > 0
        AND (upper / greatest(letters, 1) >= 0.72 OR NOT regexp_matches(s, '(^|\s)[^\s0-9\p{Lu}]')) AS heading FROM u""")
-def heading_like_lines(spark, d):
-    """Every line of every turn; heading_like is bound to its SQL, which reads the first line."""
+def heading_like(spark, d):
     rows = X.table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n", -1)).alias("line", "s"))
     return rows.select("conv_id", "turn", "line", T.heading_like(F.col("s")).alias("heading"))
 
@@ -190,7 +168,10 @@ def page_text(spark, d):
     return marks.page_text(X.words(spark, d))
 
 
-@query()
+@query(both(X.SQL_WORDS, X.SQL_RECTS, X.SQL_HITS) + """, m AS (SELECT * FROM fx_words w WHERE EXISTS (SELECT 1 FROM fx_hits h WHERE h.doc_id = w.doc_id AND h.page_no = w.page_no AND h.word_idx = w.word_idx)),
+f AS (SELECT *, coalesce(lag(line_no) OVER v = line_no AND x0 - lag(x1) OVER v <= 25, false) AS goes_on FROM m WINDOW v AS (PARTITION BY doc_id, page_no ORDER BY word_idx)),
+g AS (SELECT *, CAST(sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page_no ORDER BY word_idx ROWS UNBOUNDED PRECEDING) - 1 AS INT) AS quad FROM f)
+SELECT doc_id, page_no, quad, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM g GROUP BY ALL""")
 def line_quads(spark, d):
     w = X.words(spark, d)
     return marks.line_quads(w, marks.word_rect_hits(w, X.rects(w)))
@@ -208,10 +189,11 @@ def color_stats(spark, d):
 
 
 @query(both(X.SQL_DAMAGED) + r"""
-SELECT unicode(c) AS code, count(*) AS n FROM (SELECT unnest(regexp_extract_all(raw, '[\x00-\x08\x0b\x0c\x0e-\x1f]')) AS c FROM fx_damaged) GROUP BY ALL""")
+SELECT unicode(c) AS code, count(*) AS n FROM (SELECT unnest(regexp_extract_all(replace(replace(raw, 'qu', chr(1)), 'z', chr(11)), '[\x00-\x08\x0b\x0c\x0e-\x1f]')) AS c FROM fx_damaged)
+WHERE unicode(c) NOT IN (0, 16, 18, 19, 20, 21, 22, 23, 24, 25, 26, 27, 28, 29, 30, 31) GROUP BY ALL""")
 def control_char_census(spark, d):
-    c = X.damaged(spark, d).select(F.explode(F.regexp_extract_all("raw", F.lit("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]"), F.lit(0))).alias("c"))
-    return c.groupBy(F.ascii("c").alias("code")).agg(F.count("*").alias("n"))
+    raw = F.replace(F.replace("raw", F.lit("qu"), F.lit("\x01")), F.lit("z"), F.lit("\x0b"))
+    return marks.control_census(X.damaged(spark, d).select(raw.alias("text")))
 
 
 LEXICON = r"lex AS (SELECT text AS word FROM fx_words WHERE regexp_matches(text, '^[a-z]+$') GROUP BY text HAVING count(*) >= 3)"
@@ -281,10 +263,15 @@ def notes_markdown(spark, d):
 
 @query("""SELECT doc_id, rect_id, row_number() OVER (PARTITION BY doc_id ORDER BY n_end - n_start DESC, n_start, n_end, rect_id) AS nth FROM (SELECT l_orderkey AS doc_id, l_linenumber AS rect_id, l_partkey % 50 AS n_start, l_partkey % 50 + l_suppkey % 7 AS n_end FROM lineitem)""")
 def wrap_order(spark, d):
-    from pyspark.sql import Window
+    @F.udf("array<bigint>", useArrow=True)
+    def ordered(ms):
+        from spanloom.functions import markup
+
+        return [m["rect_id"] for m in sorted(ms, key=lambda m: markup.wrap_order((m["s"], m["e"], "")))]
 
-    r = X.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("rect_id"), F.expr("l_partkey % 50").alias("s"), F.expr("l_partkey % 50 + l_suppkey % 7").alias("e"))
-    return r.select("doc_id", "rect_id", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc(F.col("e") - F.col("s")), "s", "e", "rect_id")).cast("long").alias("nth"))
+    r = X.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("rect_id"), F.expr("l_partkey % 50").alias("s"), F.expr("l_partkey % 50 + l_suppkey % 7").alias("e"))
+    per = r.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rect_id", "s", "e"))).alias("ms"))
+    return per.select("doc_id", F.posexplode(ordered("ms")).alias("nth", "rect_id")).select("doc_id", "rect_id", (F.col("nth") + 1).cast("long").alias("nth"))
 
 
 LABEL_SQL = r"""lab AS (SELECT page_id, html, lower(trim(regexp_replace(regexp_replace(regexp_replace(coalesce(nullif(trim(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)), ''), nullif(trim(regexp_extract(html, '(?is)<h2[^>]*>(.*?)</h2>', 1)), ''),
@@ -301,10 +288,15 @@ def section_labels(spark, d):
     return _labels(X.table(spark, d, "pages")).select("page_id", F.substring("label", 1, 120).alias("label"))
 
 
-@query(both(LABEL_SQL) + """, t AS (SELECT page_id, label, string_split(label, ' ')[-1] AS target FROM lab)
-SELECT page_id, label <> '' AND target <> '' AND (label = target OR ends_with(label, target) OR ends_with(target, label) OR contains(label, target)) AS matched FROM t""")
+@query(both(LABEL_SQL) + """, t AS (SELECT a.page_id, a.label, CASE b.page_id % 3 WHEN 0 THEN b.label WHEN 1 THEN string_split(b.label, ' ')[-1] ELSE string_split(b.label, ' ')[1] END AS target
+ FROM lab a JOIN lab b ON b.page_id BETWEEN a.page_id AND a.page_id + 2)
+SELECT page_id, target, label <> '' AND target <> '' AND (label = target OR ends_with(label, target) OR ends_with(target, label) OR contains(label, target)) AS matched FROM t""")
 def label_match(spark, d):
-    return _labels(X.table(spark, d, "pages")).select("page_id", T.label_matches(F.col("label"), F.element_at(F.split("label", " "), -1)).alias("matched"))
+    """Each label against whole labels, first words and last words of its own page and the next two."""
+    a = _labels(X.table(spark, d, "pages"))
+    word, n = F.split("label", " "), F.col("page_id") % 3
+    b = a.select(F.explode(F.array(*[F.col("page_id") - i for i in range(3)])).alias("page_id"), F.when(n == 0, F.col("label")).when(n == 1, F.element_at(word, -1)).otherwise(F.element_at(word, 1)).alias("target"))
+    return a.join(b, "page_id").select("page_id", "target", T.label_matches(F.col("label"), F.col("target")).alias("matched"))
 
 
 @query(r"""
@@ -325,9 +317,9 @@ def stable_ids(spark, d):
     return X.rects(X.words(spark, d)).select("doc_id", "rect_id", key.alias("annotation_key"))
 
 
-@query("SELECT doc_id, to_base64(encode(text)) AS payload FROM documents")
+@query("SELECT doc_id, rtrim(regexp_replace(to_base64(encode(text)), '(.{76})', '\\1' || chr(10), 'g'), chr(10)) AS payload FROM documents")
 def bookmark_payload(spark, d):
-    return X.table(spark, d, "documents").select("doc_id", F.replace(outputs.payload(F.col("text")), F.lit("\n"), F.lit("")).alias("payload"))
+    return X.table(spark, d, "documents").select("doc_id", outputs.payload(F.col("text")).alias("payload"))
 
 
 @query("SELECT doc_id AS seq, text, lang AS color, CAST(n_chars % 7 AS INT) AS page_no FROM documents")
@@ -338,10 +330,9 @@ def highlight_json_roundtrip(spark, d):
     return decode(encode(h)).select("seq", "text", "color", "page_no")
 
 
-@query(both(X.SQL_WORDS) + r""", p AS (SELECT doc_id, word_idx, lower(text) AS cur, lag(text) OVER (PARTITION BY doc_id ORDER BY word_idx) || '-' AS prev FROM fx_words)
-SELECT doc_id, word_idx, coalesce(regexp_matches(cur, '^\p{Ll}') AND lower(regexp_extract(prev, '([A-Za-zÀ-ɏ]+)-$', 1)) NOT IN ('in','out','buy','sell','call','put','long','short')
-  AND (length(regexp_extract(prev, '([A-Za-zÀ-ɏ]+)-$', 1)) >= 4 OR lower(regexp_extract(prev, '([A-Za-zÀ-ɏ]+)-$', 1)) = 'vol'
-       OR (length(regexp_extract(prev, '([A-Za-zÀ-ɏ]+)-$', 1)) >= 3 AND regexp_matches(regexp_extract(prev, '([A-Za-zÀ-ɏ]+)-$', 1), '^\p{Lu}'))), false) AS merged FROM p""")
+@query(both(X.SQL_WORDS) + r""", p AS (SELECT doc_id, word_idx, lower(text) AS cur, lag(text) OVER (PARTITION BY doc_id ORDER BY word_idx) AS piece FROM fx_words)
+SELECT doc_id, word_idx, coalesce(regexp_matches(cur, '^\p{Ll}') AND lower(piece) NOT IN ('in','out','buy','sell','call','put','long','short')
+  AND (length(piece) >= 4 OR lower(piece) = 'vol' OR (length(piece) >= 3 AND regexp_matches(piece, '^\p{Lu}'))), false) AS merged FROM p""")
 def hyphen_merges(spark, d):
     from pyspark.sql import Window
 
@@ -381,25 +372,13 @@ def _split_in_place(text, needle):
     return F.replace(F.col(text), F.col(needle), cut)
 
 
-@query(r"""
-WITH t AS (SELECT conv_id, turn, regexp_extract(lower(text), '([a-z]{6,})', 1) AS needle, text FROM conversations)
-SELECT conv_id, turn, length(needle) >= 6 AS found FROM t""")
-def line_hyphen_spans(spark, d):
-    from spanloom.operators.place import spans_udf
-
-    t = X.table(spark, d, "conversations").withColumn("row", F.monotonically_increasing_id()).select("conv_id", "turn", "row", F.lower("text").alias("text"))
-    t = t.select("conv_id", "turn", "row", "text", F.explode_outer(_needles("text")).alias("needle"))
-    hit = F.size(spans_udf("line_hyphen")(_split_in_place("text", "needle"), "needle")) > 0
-    return t.groupBy("conv_id", "turn", "row").agg(F.bool_and(F.col("needle").isNotNull() & hit).alias("found")).drop("row")
-
-
 @query(r"""
 WITH t AS (SELECT conv_id, turn, lower(text) AS text FROM conversations),
 n AS (SELECT conv_id, turn, text, unnest(list_distinct(regexp_extract_all(text, '[a-z]{6,}'))) AS needle FROM t)
 SELECT conv_id, turn, needle, CAST(len(p) - 1 AS INT) AS n_spans,
        array_to_string(list_transform(range(1, len(p)), lambda i: length(array_to_string(p[1:i], '')) + (i - 1) * (length(needle) + 2)), ',') AS starts
 FROM (SELECT *, string_split(text, needle) AS p FROM n)""")
-def line_hyphen_spans_all(spark, d):
+def line_hyphen_spans(spark, d):
     """All places of every needle of every turn, split in the turn's own text."""
     from spanloom.operators.place import spans_udf
 
@@ -423,13 +402,29 @@ def similarity_ratio(spark, d):
     return t.select("doc_id", "line", F.round(similarity(F.col("p.text"), F.col("p.raw")), 6).alias("ratio"))
 
 
-@query("SELECT doc_id, true AS found FROM documents")
+def _glyph_options() -> dict[str, list[str]]:
+    """Damaged glyphs of the fixture with all they may stand for, in the order they are tried."""
+    from spanloom.config import SUBSTITUTIONS
+    from spanloom.functions.matching import LIGATURES
+
+    return {chr(code): list(dict.fromkeys([chr(code), *SUBSTITUTIONS[chr(code)], *LIGATURES])) for _, code in X.DAMAGE[:4]}
+
+
+def _glyph_sql() -> str:
+    out = "needle"
+    for c, options in _glyph_options().items():
+        out = f"replace({out}, chr({ord(c)}), '(?:' || chr({ord(c)}) || '|{'|'.join(options[1:])})')"
+    return out
+
+
+@query(both(X.SQL_DAMAGED, r"n AS (SELECT DISTINCT doc_id, text, unnest(regexp_extract_all(raw, '[a-z]*[\x12-\x15][a-z]*')) AS needle FROM fx_damaged)") + f"""
+SELECT doc_id, needle, CAST(len(regexp_extract_all(text, '(?i)' || {_glyph_sql()})) AS INT) AS n FROM n""")
 def flexible_regex(spark, d):
+    """Every damaged word searched in its document's undamaged whole text."""
     from spanloom.operators.place import spans_udf
 
-    t = _line_pairs(X.damaged(spark, d).withColumn("row", F.monotonically_increasing_id())).select("doc_id", "row", "p.text", "p.raw")
-    hit = (F.trim("raw") == "") | (F.size(spans_udf("flexible")("text", "raw")) > 0)
-    return t.groupBy("doc_id", "row").agg(F.bool_and(hit).alias("found")).drop("row")
+    t = X.damaged(spark, d).select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("raw", F.lit("[a-z]*[\\x12-\\x15][a-z]*"), F.lit(0)))).alias("needle"))
+    return t.select("doc_id", "needle", F.size(spans_udf("flexible", None)("text", "needle")).alias("n")).distinct()
 
 
 @query()
@@ -496,3 +491,125 @@ def annotate_books(spark, d):
     h = pages.select(F.col("page_id").alias("doc_id"), F.posexplode(wanted).alias("seq", "w")).select("doc_id", F.col("seq").cast("long").alias("seq"), "w.color", "w.text", F.col("w.text").alias("raw_text"), F.lit("").alias("context_before"), F.lit("").alias("context_after"), F.lit(False).alias("is_image"))
     out = annotate(h, _books(spark, d))
     return out.select("doc_id", "seq", "section", "start", "end", F.round("score", 6).alias("score"), "matched_text", "method", "start_path", "end_path", "reason", F.sha2("content", 256).alias("content_sha256"))
+
+
+@query(both(X.SQL_WORDS) + """
+SELECT doc_id, word_idx, coalesce(x0 < lag(x0) OVER w OR y0 - lag(y0) OVER w > 2, false) AS breaks FROM fx_words WINDOW w AS (PARTITION BY doc_id ORDER BY word_idx)""")
+def line_breaks(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("doc_id").orderBy("word_idx")
+    breaks = T.is_line_break(F.lag("x0").over(w), F.lag("y0").over(w), F.col("x0"), F.col("y0"))
+    return X.words(spark, d).select("doc_id", "word_idx", F.coalesce(breaks, F.lit(False)).alias("breaks"))
+
+
+@query(both(X.SQL_DAMAGED) + r"""
+SELECT doc_id, count(*) FILTER (WHERE length(t) < 3 OR regexp_matches(t, '[\x00-\x08\x0b\x0c\x0e-\x1f]|[a-zäöüß][A-Z0-9/][a-zäöüß]|/')) AS n_broken, count(*) AS n
+FROM (SELECT doc_id, unnest(regexp_extract_all(raw, '[^\x20\x09-\x0D]+')) AS t FROM fx_damaged) GROUP BY doc_id""")
+def broken_tokens(spark, d):
+    t = X.damaged(spark, d).select("doc_id", F.explode(F.regexp_extract_all("raw", F.lit(X.TOKEN), F.lit(0))).alias("t"))
+    return t.groupBy("doc_id").agg(F.count_if(T.looks_broken(F.col("t"))).alias("n_broken"), F.count("*").alias("n"))
+
+
+@query(both(X.SQL_WORDS, X.SQL_RECTS) + """
+SELECT doc_id, rect_id, '(' || CAST(round_even(x0 + 0.5, 0) AS BIGINT) || ', ' || CAST(round_even(y0 + 0.5, 0) AS BIGINT) || ', ' || CAST(round_even(x1 - 0.5, 0) AS BIGINT) || ', ' || CAST(round_even(y1 - 0.5, 0) AS BIGINT) || ')' AS shown FROM fx_rects""")
+def bbox_text(spark, d):
+    shown = T.fmt_bbox(F.col("x0") + 0.5, F.col("y0") + 0.5, F.col("x1") - 0.5, F.col("y1") - 0.5)
+    return X.rects(X.words(spark, d)).select("doc_id", "rect_id", shown.alias("shown"))
+
+
+@query(both(X.SQL_WORDS, X.SQL_RECTS) + """
+SELECT doc_id, rect_id, x0, greatest(y0, 100) AS y0, least(x1, 250) AS x1, least(y1, 500) AS y1 FROM fx_rects WHERE least(x1, 250) > x0 AND least(y1, 500) > greatest(y0, 100)""")
+def clipped_boxes(spark, d):
+    box = T.clip(tuple(F.col(c) for c in ("x0", "y0", "x1", "y1")), tuple(F.lit(float(v)) for v in (0, 100, 250, 500)))
+    return X.rects(X.words(spark, d)).select("doc_id", "rect_id", box.alias("b")).filter("b IS NOT NULL").select("doc_id", "rect_id", "b.*")
+
+
+@query(both(X.SQL_WORDS, X.SQL_RECTS) + """
+SELECT doc_id, rect_id, n, x0, y0, CASE WHEN color = 'red' OR n = 0 THEN x1 ELSE x1 + 3 END AS x1, y1 FROM fx_rects, (VALUES (0), (1)) v(n) WHERE n = 0 OR color <> 'red'""")
+def drawn_paths(spark, d):
+    """A path of one rect and three lines round a wider box; red ones have no items and count as they are."""
+    named = lambda k, a, b, c, e: F.struct(F.lit(k).alias("kind"), a.alias("x0"), b.alias("y0"), c.alias("x1"), e.alias("y1"))
+    x0, y0, x1, y1, wide = F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), F.col("x1") + 3
+    items = F.array(named("re", x0, y0, x1, y1), named("l", x0, y0, wide, y0), named("l", wide, y0, wide, y1), named("l", wide, y1, x0, y1))
+    some = F.when(F.col("color") == "red", F.filter(items, lambda i: F.lit(False))).otherwise(items)
+    own = F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
+    return X.rects(X.words(spark, d)).select("doc_id", "rect_id", F.posexplode(G.path_rects(some, own)).alias("n", "r")).select("doc_id", "rect_id", "n", "r.x0", "r.y0", "r.x1", "r.y1")
+
+
+FAILED = """SELECT o_custkey AS seq, o_orderkey AS scan_pos, CASE WHEN o_orderkey % 3 = 0 THEN 'no_candidate_windows' ELSE 'no_fuzzy_match' END AS reason,
+ CASE WHEN o_orderkey % 5 < 2 THEN (o_orderkey * 7919 % 97) / CAST(100 AS DOUBLE) END AS best_score FROM orders"""
+
+
+@query(f"""
+SELECT seq, reason, top AS best_score FROM (SELECT *, max(best_score) OVER (PARTITION BY seq) AS top,
+  row_number() OVER (PARTITION BY seq ORDER BY best_score DESC NULLS LAST, (reason <> 'no_candidate_windows') DESC, scan_pos) AS n FROM ({FAILED})) WHERE n = 1""")
+def failure_merge(spark, d):
+    s = F.expr("CASE WHEN o_orderkey % 5 < 2 THEN (o_orderkey * 7919 % 97) / 100D END")
+    f = X.table(spark, d, "orders").select(F.col("o_custkey").alias("seq"), F.col("o_orderkey").alias("scan_pos"), F.when(F.col("o_orderkey") % 3 == 0, "no_candidate_windows").otherwise("no_fuzzy_match").alias("reason"), s.alias("best_score"))
+    return outputs.merged_failure(f, ["seq"])
+
+
+@query("""
+WITH m AS (SELECT l_orderkey AS doc_id, CASE WHEN l_partkey % 11 = 0 THEN '../x' ELSE 'a/' || (l_partkey % 30) END AS name, CAST(l_quantity AS BIGINT) * 2200000 AS size FROM lineitem),
+e AS (SELECT *, CASE WHEN starts_with(name, '..') THEN 'parts' WHEN size > 104857600 THEN 'member_size' END AS e FROM m),
+n AS (SELECT doc_id, name, count(*) AS n, sum(size) AS size, min(e) AS e FROM e GROUP BY ALL)
+SELECT doc_id, coalesce(min(e), CASE WHEN max(n) > 1 THEN 'duplicate' END, CASE WHEN sum(size) > 524288000 THEN 'total_size' END) AS error FROM n GROUP BY doc_id""")
+def archive_checks(spark, d):
+    name = F.when(F.col("l_partkey") % 11 == 0, "../x").otherwise(F.concat(F.lit("a/"), F.col("l_partkey") % 30))
+    m = X.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), name.alias("name"), (F.col("l_quantity").cast("long") * 2200000).alias("size"))
+    return outputs.archive_errors(m)
+
+
+@query("""
+WITH t AS (SELECT DISTINCT doc_id, quality, toxic FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL),
+n AS (SELECT doc_id, count(*) FILTER (WHERE quality = 0) AS a, count(*) FILTER (WHERE toxic = 1) AS b,
+  string_agg('{"doc":' || doc_id || ',"toxic":' || toxic || '}', ',' ORDER BY toxic) FILTER (WHERE quality = 0) AS u,
+  string_agg('{"word":"w' || quality || '","context":"c","reason":"ligature_unresolved"}', ',' ORDER BY quality) FILTER (WHERE toxic = 1) AS w FROM t GROUP BY doc_id)
+SELECT doc_id, CASE WHEN a + b > 0 THEN 'needs_review' ELSE 'final' END AS status,
+ '{"status":"' || CASE WHEN a + b > 0 THEN 'needs_review' ELSE 'final' END || '","requires_review":' || (a + b > 0) || ',"original":"o' || doc_id || '","marked":"m","output":"out","output_format":"pdf","notes_out":null,"unmatched_out":'
+ || CASE WHEN a > 0 THEN '"u.json"' ELSE 'null' END || ',"unmatched_count":' || a || ',"unmatched":[' || coalesce(u, '') || '],"unresolved_count":' || b || ',"unresolved":[' || coalesce(w, '') || ']}' AS bundle FROM n""")
+def review_bundles(spark, d):
+    t = X.table(spark, d, "labels").dropna(subset=["quality", "toxic"]).select("doc_id", "quality", "toxic").distinct()
+    text = lambda x: F.lit(x).cast("string")
+    names = t.select("doc_id").distinct().select("doc_id", F.concat(F.lit("o"), F.col("doc_id")).alias("original"), text("m").alias("marked"), text("out").alias("output"), text("pdf").alias("output_format"), text(None).alias("notes_out"), text("u.json").alias("unmatched_out"))
+    unmatched = t.filter("quality = 0").select("doc_id", F.col("toxic").alias("seq"), F.to_json(F.struct(F.col("doc_id").alias("doc"), "toxic")).alias("entry"))
+    unresolved = t.filter("toxic = 1").select("doc_id", F.concat(F.lit("w"), F.col("quality")).alias("word"), F.lit("c").alias("context"))
+    return outputs.review_bundle(names, unmatched, unresolved)
+
+
+@query("""
+WITH e AS (SELECT conv_id AS doc_id, turn AS seq, turn // 3 AS page_no, replace(text, chr(10), ' ') AS text, CASE WHEN turn % 2 = 0 THEN 'yellow' ELSE 'pink' END AS color, turn % 5 = 4 AS is_image FROM conversations),
+l AS (SELECT *, CASE WHEN is_image THEN '- [image highlight, ' || color || ', bbox=(1, 2, 3, 4)]' ELSE '> ' || text || CASE WHEN color <> 'yellow' THEN ' _(' || color || ')_' ELSE '' END END AS line FROM e),
+p AS (SELECT doc_id, page_no, '## Page ' || (page_no + 1) || chr(10) || chr(10) || string_agg(line, chr(10) || chr(10) ORDER BY seq, line) || chr(10) AS part FROM l GROUP BY doc_id, page_no)
+SELECT doc_id, '# Highlights: t' || doc_id || chr(10) || chr(10) || string_agg(part, chr(10) ORDER BY page_no) AS markdown FROM p GROUP BY doc_id""")
+def page_notes(spark, d):
+    c = X.table(spark, d, "conversations")
+    box = [F.lit(float(v)).alias(n) for n, v in (("x0", 1), ("y0", 2), ("x1", 3), ("y1", 4))]
+    h = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), F.expr("turn div 3").alias("page_no"), F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"), F.when(F.col("turn") % 2 == 0, "yellow").otherwise("pink").alias("color"), (F.col("turn") % 5 == 4).alias("is_image"), *box)
+    return outputs.page_notes(h, titles=c.select(F.col("conv_id").alias("doc_id")).distinct().withColumn("title", F.concat(F.lit("t"), F.col("doc_id"))))
+
+
+@query()
+def extract_all(spark, d):
+    """Every highlight of every document in order, pictures too."""
+    w = X.words(spark, d)
+    return marks.extract(w, X.rects(w))
+
+
+@query()
+def annotate_pages(spark, d):
+    """Benchmark passages and unmarked boxes as annotations of the documents that hold them."""
+    from spanloom.operators.annotate import annotate
+
+    docs, w = X.table(spark, d, "documents"), X.words(spark, d)
+    needles = X.table(spark, d, "benchmark").select(F.col("item_id").alias("seq"), "text")
+    found = locate_exact(needles, docs).select("doc_id", "seq").join(F.broadcast(needles), "seq")
+    r = X.rects(w)
+    none, box = F.lit(""), [F.lit(0.0).alias(c) for c in ("x0", "y0", "x1", "y1")]
+    h = found.select("doc_id", "seq", F.lit(0).cast("long").alias("page_no"), F.lit("green").alias("color"), F.lit(False).alias("is_image"), "text", F.col("text").alias("raw_text"), none.alias("context_before"), none.alias("context_after"), *box)
+    some = marks.image_highlights(r, marks.word_rect_hits(w, r)).join(found.select("doc_id").distinct(), "doc_id", "left_semi")
+    i = some.select("doc_id", (1000 + F.xxhash64("page_no", "color", "passage") % 1000).alias("seq"), "page_no", "color", F.lit(True).alias("is_image"), none.alias("text"), none.alias("raw_text"), none.alias("context_before"), none.alias("context_after"), "x0", "y0", "x1", "y1")
+    pages = w.select("doc_id", "page_no").distinct().select("doc_id", "page_no", F.lit(595.0).alias("width"), F.lit(700.0).alias("height"))
+    out = annotate(h.unionByName(i), w.join(found.select("doc_id").distinct(), "doc_id", "left_semi"), pages)
+    return out.withColumn("quads", F.to_json("quads"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA = "seq long, color string, text string, raw_text string, is_image boolean, page_no int, bbox array<double>, context_before string, context_after string"
+SCHEMA = "doc_id long, seq long, color string, text string, raw_text string, is_image boolean, page_no int, bbox array<double>, context_before string, context_after string"
+COLUMNS = ("seq", "color", "text", "raw_text", "is_image", "page_no", "bbox", "context_before", "context_after")
 REQUIRED = ("color", "page_no", "bbox")
 
 

@@ -49,7 +49,7 @@ def test_colors(spark):
 def test_hyphen_join_and_display(spark):
     rows = [(0, "the", 0.0, 0.0), (1, "Mon-", 50.0, 0.0), (2, "eyness", 0.0, 12.0), (3, "ofﬁce", 50.0, 12.0)]
     df = spark.createDataFrame(rows, "word_idx long, text string, x0 double, y0 double").agg(F.array_sort(F.collect_list(F.struct("word_idx", "text", "x0", "y0"))).alias("ws"))
-    assert df.select(marks.joined_text(F.col("ws")).alias("t")).first().t == "the Moneyness ofﬁce"
+    assert df.select(marks.joined_text(F.col("ws")).alias("t")).first().t == "the Moneyness office"
     one = spark.createDataFrame([("a ﬁ—b",)], "t string").select(text.clean_display(F.col("t")).alias("c")).first()
     assert one.c == "a fi—b"
 

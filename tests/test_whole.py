@@ -19,7 +19,7 @@ def test_every_turn_is_scored_by_four_rules(spark):
     rows = spark.read.parquet(f"{D}/conversations.parquet").select("conv_id", "turn", "text").collect()
     texts = [(r.conv_id, r.turn, re.sub(r"([0-9A-Za-z_])([.,])", r"\1 \2", r.text)) for r in rows]
     want = sorted((c, t, sum(len(re.findall(x, s)) for x in rules)) for c, t, s in texts)
-    assert sorted(map(tuple, QUERIES["broken_output_score_all"](spark, D).collect())) == want
+    assert sorted(map(tuple, QUERIES["broken_output_score"](spark, D).collect())) == want
     assert any(re.search(rules[2], s) for _, _, s in texts)
 
 
@@ -58,27 +58,26 @@ def test_every_line_takes_part(spark, tmp_path):
     d = made(spark, tmp_path, documents=(docs, "doc_id long, text string"), conversations=(turns, "conv_id long, turn long, text string"))
     got = {(r.doc_id, r.line): r.ratio for r in QUERIES["similarity_ratio"](spark, d).collect()}
     assert len(got) == 6 and got[1, 0] == 1.0 and got[1, 1] < 1.0 and got[1, 3] < 1.0
-    lines = {(r.conv_id, r.turn, r.line): r.heading for r in QUERIES["heading_like_lines"](spark, d).collect()}
+    lines = {(r.conv_id, r.turn, r.line): r.heading for r in QUERIES["heading_like"](spark, d).collect()}
     assert lines == {(1, 0, 0): False, (1, 0, 1): True, (1, 0, 2): False, (1, 1, 0): True}
-    assert {r.doc_id: r.found for r in QUERIES["flexible_regex"](spark, d).collect()} == {1: True, 2: True, 3: True}
+    assert {(r.doc_id, r.needle): r.n for r in QUERIES["flexible_regex"](spark, d).collect()} == {(1, "o\x15ce"): 1, (1, "\x14rst"): 1, (1, "\x13y"): 1}
 
 
 def test_flexible_regex_notices_damage_in_a_later_line(spark, tmp_path, monkeypatch):
     from spanloom.plans import fixtures as X
 
     d = made(spark, tmp_path, documents=([(1, "plain words\nan office")], "doc_id long, text string"))
-    lost = spark.createDataFrame([(1, "plain words\nan office", "plain words\nan orifice")], "doc_id long, text string, raw string")
+    lost = spark.createDataFrame([(1, "plain words\nan orifice, an office, an OFFICE", "plain words\nan o\x15ce")], "doc_id long, text string, raw string")
     monkeypatch.setattr(X, "damaged", lambda *_: lost)
-    assert [r.found for r in QUERIES["flexible_regex"](spark, d).collect()] == [False]
+    assert [r.n for r in QUERIES["flexible_regex"](spark, d).collect()] == [2]
 
 
 def test_line_hyphens_are_searched_in_the_whole_turn(spark, tmp_path):
     long = "x" * 1100
     turns = [(1, 0, "a short one, however moneyness and moneyness"), (1, 1, f"one {long} word"), (1, 2, "no such")]
     d = made(spark, tmp_path, conversations=(turns, "conv_id long, turn long, text string"))
-    got = sorted((r.turn, r.needle, r.n_spans) for r in QUERIES["line_hyphen_spans_all"](spark, d).collect())
+    got = sorted((r.turn, r.needle, r.n_spans) for r in QUERIES["line_hyphen_spans"](spark, d).collect())
     assert got == [(0, "however", 1), (0, "moneyness", 2), (1, long, 1)]
-    starts = {r.needle: r.starts for r in QUERIES["line_hyphen_spans_all"](spark, d).collect()}
+    starts = {r.needle: r.starts for r in QUERIES["line_hyphen_spans"](spark, d).collect()}
     text = "a short one, however mon- eyness and mon- eyness"
     assert starts["moneyness"] == ",".join(str(m.start()) for m in re.finditer("mon- eyness", text))
-    assert {r.turn: r.found for r in QUERIES["line_hyphen_spans"](spark, d).collect()} == {0: True, 1: True, 2: False}
