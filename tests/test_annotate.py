@@ -23,12 +23,13 @@ def test_ranges_are_widened_to_whole_words_and_drawn_by_line(spark):
     w = spark.createDataFrame(words, WORDS)
     pages = spark.createDataFrame([(1, 0, 100.0, 50.0)], "doc_id long, page_no long, width double, height double")
     marks_ = [mark(0, "ffice is some thing els"), mark(1, "nowhere to be found at all"), mark(2, image=True, box=(90.0, 40.0, 120.0, 60.0)), mark(3, image=True, box=(200.0, 0.0, 220.0, 9.0)), mark(4, page=7, image=True, box=(0.0, 0.0, 9.0, 9.0))]
-    got = {r.seq: r for r in annotate.annotate(spark.createDataFrame(marks_, HIGHLIGHTS), w, pages).collect()}
+    out = annotate.annotate(spark.createDataFrame(marks_, HIGHLIGHTS), w, pages)
+    got = {r.seq: r for r in out.collect()}
     assert [got[i].status for i in range(5)] == ["text", "unmatched", "image", "skipped", "skipped"]
     assert len(got[0].quads) == 2 and got[0].quads[1] == [0.0, 12.0, 90.0, 12.0, 0.0, 22.0, 90.0, 22.0]  # "els" takes "else"
     assert len(got[0].annotation_key) == 32 and json.loads(got[1].entry)["reason"] == got[1].reason
     assert got[2].quads == [[90.0, 40.0, 100.0, 50.0]] and got[3].quads is None
-    s = annotate.stats(spark.createDataFrame(list(got.values()))).first()
+    s = annotate.stats(out).first()
     assert (s.text_matched, s.text_unmatched, s.image_placed, s.image_skipped) == (1, 1, 1, 2)
 
 
