@@ -11,15 +11,19 @@ filters on average. ``CODES`` such codes are laid independently, and a vector th
 than ``LEAST`` filters of a code joins its best ones. Simulated on random pairs of cosine exactly
 0.9 in 64 dimensions, 99 of 100 pairs share a filter; closer ones are surer.
 
-Equal vectors are collapsed first and count by their number. A pair that meets in several filters
-is counted only in the smallest one they share, so counts add up without a table of pairs: from a
-filter come the number of links per vector and a spanning forest of the links. Filters with many
-vectors are split into blocks of ``BLOCK``, met pair by pair in different tasks.
-
-Edge cases: vectors that are null, empty, zero, of another length than the most common one, or
-hold null or non-finite components link with nothing (n_links 0, their own component). Rows that
-repeat an id are each returned. A null id counts as its own component. Empty tables give empty
-results. Other columns, as labels, are ignored.
+Equal vectors are collapsed first and count by their number. Where vectors meet, they are first
+compared by ``BITS`` signs of random projections, sent along with the filters; only rows with a
+partner within ``NEAR`` bits are met again with their vectors (a pair at 0.9 differs in 18 bits on
+average, with a deviation of 4). A pair that meets in several filters is counted only in the
+smallest one they share, so counts add up without a table of pairs: from a filter come the number
+of links per vector and a spanning forest of the links. Filters with many vectors are split into
+blocks of ``BLOCK``, met pair by pair in different tasks.
+
+Edge cases: vectors that are null, empty, zero, or hold null or non-finite components link with
+nothing (n_links 0, their own component); vectors of other lengths only with their like. Each row is
+a vertex of its own, so rows that repeat an id are told apart by their vectors. A component's id is
+the smallest id in it, null if all are null; a row with a null id counts as kept if it is its
+component's first. Empty tables give empty results. Other columns, as labels, are ignored.
 """
 
 from __future__ import annotations
@@ -32,17 +36,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.graph import connected_components
-from spanloom.llm.shared import read, trimmed, tune, write_table
+from spanloom.llm.shared import drop_table, quoted, read, sent, trimmed, tune, write_table
 
 THRESHOLD = 0.9
 #: Independent codes, parts of each, filters a random vector passes in each code on average, and
 #: the least number of (best) filters of each code that any vector joins.
 CODES, PARTS, LIST, LEAST, FILTERS_PER_VECTOR = 3, 2, 12, 4, 1.0
 BLOCK = 512
+BITS, NEAR = 128, 36
 SEED = 20240229
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=64)
 def code(dim: int, words: int, nth: int):
     """Rotation, part borders, code books and threshold, the same in every process."""
     import numpy as np
@@ -91,46 +96,113 @@ def decode(v, dim: int, words: int, nth: int):
     return ids + nth * words ** len(products)
 
 
+@lru_cache(maxsize=16)
+def directions(dim: int):
+    import numpy as np
+
+    return np.random.default_rng([SEED, dim]).standard_normal((BITS, dim))
+
+
+def unit(x):
+    """Rows of finite numbers, not all zero, at length one, in double precision."""
+    import numpy as np
+
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _clean(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    x = F.col(vec_col).cast("array<double>")
-    fine = F.col(vec_col).isNotNull() & (F.size(vec_col) > 0) & F.forall(x, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False))) & F.exists(x, lambda v: v != 0)
-    return df.select(F.col(id_col).cast("long").alias("id"), F.when(F.coalesce(fine, F.lit(False)), x).alias("x"))
+    """(uid, id, x): x null where the vector can link with nothing."""
+    x = F.col(quoted(vec_col))
+    kind = df.schema[vec_col].dataType.elementType.simpleString()  # type: ignore[attr-defined]
+    x = x if kind == "float" else x.cast("array<double>")
+    fine = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False))) & F.exists(x, lambda v: v != 0)
+    return df.select(F.monotonically_increasing_id().alias("uid"), F.col(quoted(id_col)).alias("id"), F.when(F.coalesce(fine, F.lit(False)), x).alias("x"))
 
 
-def _filters(reps: DataFrame, dim: int, words: int) -> DataFrame:
-    """(id, weight, x, filters, each): unit vector and filters of each row; x as 8-byte floats, filters as
-    sorted 8-byte integers and as an array."""
+def _filters(reps: DataFrame, words: dict[int, int]) -> DataFrame:
+    """(rep, weight, dim, x, filters, signs, each): x as given, filters sorted, both as bytes, and as
+    an array. words: size of the code books for each length of vectors."""
+    double = reps.schema["x"].dataType.elementType.simpleString() == "double"  # type: ignore[attr-defined]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for b in batches:
-            xs, lists = [], []
+            xs, lists, dims, signs = [], [], [], []
             for v in b.column("x").to_pylist():
-                v = np.array(v)
-                v = v / np.abs(v).max()
-                v /= np.linalg.norm(v)
+                v = np.array(v, np.float64 if double else np.float32)
+                u, dim = unit(v[None])[0], len(v)
+                dims.append(dim)
                 xs.append(v.tobytes())
-                lists.append(np.sort(np.concatenate([decode(v, dim, words, k) for k in range(CODES)])))
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(xs, pa.binary()), pa.array([f.tobytes() for f in lists], pa.binary()), pa.array([f.tolist() for f in lists], pa.list_(pa.int64()))], names=["id", "weight", "x", "filters", "each"])
+                lists.append(np.sort(np.concatenate([decode(u, dim, words[dim], k) for k in range(CODES)])))
+                signs.append(np.packbits(directions(dim) @ u > 0).tobytes())
+            made = [pa.array(dims, pa.int32()), pa.array(xs, pa.binary()), pa.array([f.tobytes() for f in lists], pa.binary()), pa.array(signs, pa.binary()), pa.array([f.tolist() for f in lists], pa.list_(pa.int64()))]
+            yield pa.record_batch([b.column(0), b.column(1), *made], names=["rep", "weight", "dim", "x", "filters", "signs", "each"])
+
+    return reps.mapInArrow(trimmed(run), "rep long, weight long, dim int, x binary, filters binary, signs binary, each array<long>")
 
-    return reps.mapInArrow(trimmed(run), "id long, weight long, x binary, filters binary, each array<long>")
 
+PLACE = ["dim", "filter", "b1", "b2", "block", "rep"]
 
-def _meet(rows: DataFrame, spark: SparkSession, threshold: float) -> DataFrame:
-    """rows: (filter, id, weight, x, filters). Gives (id, links) and forest edges (u, v)."""
-    load = rows.groupBy("filter").agg(F.count("*").alias("m")).filter("m > 1").withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int"))
-    dealt = rows.join(load.select("filter", "nb"), "filter").withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows that agree in (dim, filter, b1, b2), which come one after the other."""
+    g: list[tuple] = []
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if g and g[0][:4] != row[:4]:
+                yield g
+                g = []
+            g.append(row)
+    if g:
+        yield g
+
+
+def _called(listed: DataFrame) -> DataFrame:
+    """Of all places where vectors meet, those at which one has a partner that its signs allow."""
+    rows = listed.select("dim", F.explode("each").alias("filter"), "rep", "signs")
+    load = rows.groupBy("dim", "filter").agg(F.count("*").alias("m")).filter("m > 1").withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int"))
+    dealt = rows.join(load.drop("m"), ["dim", "filter"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.select("filter", F.least("block", "o").alias("b1"), F.greatest("block", "o").alias("b2"), "block", "id", "weight", "x", "filters")
-    dealt = dealt.repartition("filter", "b1", "b2").sortWithinPartitions("filter", "b1", "b2")
+    dealt = dealt.select("dim", "filter", F.least("block", "o").alias("b1"), F.greatest("block", "o").alias("b2"), "block", "rep", "signs")
+    dealt = dealt.repartition(*PLACE[:4]).sortWithinPartitions(*PLACE[:4])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        i32, i64 = pa.int32(), pa.int64()
+        kinds = (i32, i64, i32, i32, i32, i64)
+        out: list[tuple] = []
+        for g in _grouped(batches):
+            if len(g) > 1:
+                bits = np.unpackbits(np.frombuffer(b"".join(r[6] for r in g), np.uint8).reshape(len(g), -1), axis=1).astype(np.float32) * 2 - 1
+                side = np.array([r[4] for r in g])
+                near = bits @ bits.T >= BITS - 2 * NEAR
+                np.fill_diagonal(near, False)
+                if g[0][2] != g[0][3]:
+                    near &= side[:, None] != side[None, :]
+                out += [g[i][:6] for i in np.flatnonzero(near.any(1))]
+            if len(out) >= 10_000:
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=PLACE)
+                out = []
+        if out:
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=PLACE)
+
+    return dealt.mapInArrow(trimmed(run), "dim int, filter long, b1 int, b2 int, block int, rep long")
+
+
+def _meet(listed: DataFrame, called: DataFrame, threshold: float) -> DataFrame:
+    """(id, links) and forest edges (id, other) from the called places."""
+    dealt = listed.drop("dim").join(sent(called), "rep").select(*PLACE, "weight", "x", "filters").repartition(*PLACE[:4]).sortWithinPartitions(*PLACE[:4])
 
     def group(g: list[tuple], links: dict, edges: list) -> None:
         import numpy as np
 
-        f, b1, b2 = g[0][:3]
-        ids, weight, side = np.array([r[4] for r in g]), np.array([r[5] for r in g]), np.array([r[3] for r in g])
-        x = np.frombuffer(b"".join(r[6] for r in g)).reshape(len(g), -1)
+        dim, f, b1, b2 = g[0][:4]
+        ids, weight, side = np.array([r[5] for r in g]), np.array([r[6] for r in g]), np.array([r[4] for r in g])
+        x = unit(np.frombuffer(b"".join(r[7] for r in g), np.float32 if len(g[0][7]) == 4 * dim else np.float64).reshape(len(g), dim))
         left = np.flatnonzero(side == b1)
         right = left if b1 == b2 else np.flatnonzero(side == b2)
         i, j = np.nonzero(x[left] @ x[right].T >= threshold)
@@ -140,8 +212,8 @@ def _meet(rows: DataFrame, spark: SparkSession, threshold: float) -> DataFrame:
         if not len(i):
             return
         # Of the filters two rows share, the smallest one counts the pair.
-        lists = np.frombuffer(b"".join(r[7] for r in g), np.int64)
-        owner = np.repeat(np.arange(len(g)), [len(r[7]) // 8 for r in g])
+        lists = np.frombuffer(b"".join(r[8] for r in g), np.int64)
+        owner = np.repeat(np.arange(len(g)), [len(r[8]) // 8 for r in g])
         owner, lists = owner[lists < f], lists[lists < f]
         if len(lists):
             seen, place = np.unique(lists, return_inverse=True)
@@ -176,47 +248,39 @@ def _meet(rows: DataFrame, spark: SparkSession, threshold: float) -> DataFrame:
                 names=["id", "other", "links"],
             )
 
-        g: list[tuple] = []
-        for b in batches:
-            links: dict = {}
-            edges: list = []
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if g and g[0][:3] != row[:3]:
-                    if len(g) > 1:
-                        group(g, links, edges)
-                    g = []
-                g.append(row)
-            yield out(links, edges)
-        if len(g) > 1:
-            links, edges = {}, []
-            group(g, links, edges)
-            yield out(links, edges)
+        links: dict = {}
+        edges: list = []
+        for g in _grouped(batches):
+            if len(g) > 1:
+                group(g, links, edges)
+            if len(links) + len(edges) >= 10_000:
+                yield out(links, edges)
+                links, edges = {}, []
+        yield out(links, edges)
 
     return dealt.mapInArrow(trimmed(run), "id long, other long, links long")
 
 
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``df``: (id, n_links, component_id, kept)."""
-    spark = df.sparkSession
     rows = write_table(_clean(df, id_col, vec_col), "caps-vectors")
-    sizes = rows.filter("x is not null and id is not null").groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    result = [F.col("id").alias(id_col)]
-    if sizes is None:
-        return rows.select(*result, F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    dim = sizes["d"]
-    good = rows.filter((F.size("x") == dim) & F.col("id").isNotNull())
-    reps = write_table(good.groupBy("x").agg(F.min("id").alias("id"), F.count("*").alias("weight")).select("id", "weight", "x").repartition("id"), "caps-reps")
-    n = reps.count()
-    words = max(4, round((FILTERS_PER_VECTOR * max(n, 1)) ** (1 / min(PARTS, dim))))
-    listed = write_table(_filters(reps, dim, words), "caps-filters")
-    met = write_table(_meet(listed.select(F.explode("each").alias("filter"), "id", "weight", "x", "filters"), spark, threshold), "caps-met")
-    counts = met.filter("other is null").groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "rep")
+    good = rows.filter("x is not null")
+    reps = write_table(good.groupBy("x").agg(F.min("uid").alias("rep"), F.count("*").alias("weight")).select("rep", "weight", "x"), "caps-reps")
+    # One number for each length of vectors.
+    words = {r.d: max(4, round((FILTERS_PER_VECTOR * r.n) ** (1 / min(PARTS, r.d)))) for r in reps.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n")).collect()}
+    listed = write_table(_filters(reps.repartition("rep"), words), "caps-filters")
+    called = write_table(_called(listed), "caps-called")
+    met = write_table(_meet(listed, called, threshold), "caps-met")
+    drop_table(listed, called)
+    counts = met.filter("other is null").groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links"))
     parts = connected_components(met.filter("other is not null").select(F.col("id").alias("u"), F.col("other").alias("v"))).withColumnRenamed("id", "rep")
-    named = reps.withColumnRenamed("id", "rep").join(counts, "rep", "left").join(parts, "rep", "left")
-    named = named.select(F.col("x").alias("y"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = rows.join(named, (rows["x"] == named["y"]) & rows["id"].isNotNull(), "left")
-    component = F.coalesce("component_id", "id")
-    return out.select(*result, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    named = reps.join(counts, "rep", "left").join(parts, "rep", "left")
+    named = named.select(F.col("x").alias("y"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    out = rows.join(named, rows["x"] == named["y"], "left").select("uid", "id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "uid").alias("component"))
+    best = out.filter("n_links > 0").groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("best"))
+    out = out.join(best, "component", "left")
+    component = F.when(F.col("best").isNull(), F.col("id")).otherwise(F.col("best.id"))
+    return out.select(F.col("id").alias(id_col), "n_links", component.alias("component_id"), F.coalesce(component == F.col("id"), F.col("best.uid") == F.col("uid"), F.lit(True)).alias("kept"))
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
