@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.shared import drop_table, quoted, read, trimmed, tune, with_uid, write_table
+from spanloom.llm.shared import drop_table, fresh, map_rows, quoted, read, trimmed, tune, with_uid, write_table
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -280,14 +280,15 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
                 out.append((s, e, -max(fits)[1]))
         return out
 
+    at = df.columns.index(text_col)
+    place = df.columns.index(length_col) if length_col in df.columns else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, columns = list(b.schema.names), list(b.columns)
-            given = columns.pop().to_pylist() if model is None else None
-            names = names[: len(columns)]
-            at = names.index(text_col)
+            columns = list(b.columns)
+            given = columns[-1].to_pylist() if model is None else None
             texts = columns[at].to_pylist()
-            lengths = columns[names.index(length_col)].to_pylist() if length_col in names else None
+            lengths = columns[place].to_pylist() if place is not None else None
             for i, text in enumerate(texts):
                 if text:
                     spans = base_spans(text)
@@ -298,18 +299,18 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
                             lengths[i] = len(texts[i])
             columns[at] = pa.array(texts, columns[at].type)
             if lengths is not None:
-                place = names.index(length_col)
                 columns[place] = pa.array(lengths, columns[place].type)
-            yield pa.record_batch(columns, names=names)
+            yield pa.record_batch(columns, names=b.schema.names)
 
     if model is not None:
         drop_table(scanned)
-        return df.mapInArrow(trimmed(run), df.schema)
+        return map_rows(df, run)
     docs, uid = with_uid(df, "pii-docs")
     scanned = write_table(scan(docs, uid, text_col), "pii-scan")
     spans = _more(_added(scanned, trusted, known).join(scanned.select("uid", "id"), "uid").drop("uid").withColumnRenamed("id", "uid"))
-    rows = docs.join(spans.toDF(uid, "more"), uid, "left")
-    return rows.select(*[F.col(quoted(c)) for c in df.columns], F.col("more")).mapInArrow(trimmed(run), df.schema)
+    added_col = fresh(docs, "more")
+    rows = docs.join(spans.toDF(uid, added_col), uid, "left").drop(uid)
+    return map_rows(rows, run).drop(added_col)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

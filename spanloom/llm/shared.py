@@ -139,6 +139,15 @@ class Recent:
         return out
 
 
+def map_rows(df: DataFrame, run) -> DataFrame:
+    """``run`` (batches to batches of the same columns) over whole rows, whatever the columns are
+    called; to ``run`` they are c0, c1, ..."""
+    from pyspark.sql.types import StructField, StructType
+
+    schema = StructType([StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(df.schema)])
+    return df.toDF(*schema.names).mapInArrow(trimmed(run), schema).toDF(*df.columns)
+
+
 #: What this worker remembers between tasks, for one operator at a time.
 _memory: dict[str, object] = {}
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.shared import Recent, quoted, read, remembered, trimmed, tune
+from spanloom.llm.shared import Recent, map_rows, quoted, read, remembered, trimmed, tune
 
 MAX_LABELLED = 8_000
 BUCKETS = 1 << 20
@@ -280,7 +280,7 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
             yield pa.record_batch([b.column(0), *[pa.array(p[:, i]) for i in range(p.shape[1])], pa.array(p[:, -1] >= threshold)], names=["id", *names, "toxic"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(trimmed(run), f"id {kind}, " + ", ".join(f"{n} double" for n in names) + ", toxic boolean").withColumnRenamed("id", id_col)
+    return docs.select(quoted(id_col), quoted(text_col)).mapInArrow(trimmed(run), f"id {kind}, " + ", ".join(f"{n} double" for n in names) + ", toxic boolean").withColumnRenamed("id", id_col)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -288,14 +288,14 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     chain = train(docs, labels, id_col=id_col, text_col=text_col, **how)
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
+    at = docs.columns.index(text_col)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = None
         for b in batches:
-            at = b.schema.get_field_index(text_col) if at is None else at
             p = shared.value.predict(b.column(at).to_pylist())
             yield b.filter(pa.array(p[:, -1] < THRESHOLD))
 
-    return docs.mapInArrow(trimmed(run), docs.schema)
+    return map_rows(docs, run)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
