@@ -37,10 +37,10 @@ from spanloom.llm.shared import WHITE, Recent, quoted, read, remembered, trimmed
 CAPACITY, END = 4096, 1
 END_BYTES = END.to_bytes(4, "little")
 RANK_GROUP = 50_000
-ROWS_AT_ONCE = 300
+ROWS_AT_ONCE = 1_000
 PASSES, PATTERNS_PER_LENGTH, STEPS = 6, 6, 120
-#: Words and stems in a generation of a worker's memory, and their longest; about 130 MB.
-CACHE_ENTRIES, STEM_ENTRIES, CACHE_CHARS = 60_000, 250_000, 40
+#: Words and stems in a generation of a worker's memory, and their longest; about 150 MB.
+CACHE_ENTRIES, STEM_ENTRIES, CACHE_CHARS = 125_000, 250_000, 40
 SPLIT = re.compile(rf"[{WHITE}]+")
 #: A run of letters, then symbols; letters whose lower case depends on place or grows are left out.
 WORD = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
