@@ -278,9 +278,13 @@ LABEL_SQL = r"""lab AS (SELECT page_id, html, lower(trim(regexp_replace(regexp_r
  nullif(trim(regexp_extract(html, '(?is)<h3[^>]*>(.*?)</h3>', 1)), ''), nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), ''), 'page'), '<[^>]*>', '', 'g'), '\s*-\s*', '-', 'g'), '\s+', ' ', 'g'))) AS label FROM pages)"""
 
 
-def _labels(pages: DataFrame) -> DataFrame:
+def _label():
     tags = [F.nullif(F.trim(F.regexp_extract("html", f"(?is)<{t}[^>]*>(.*?)</{t}>", 1)), F.lit("")) for t in ("h1", "h2", "h3", "title")]
-    return pages.select("page_id", T.normalize_text(F.regexp_replace(F.coalesce(*tags, F.lit("page")), "<[^>]*>", "")).alias("label"))
+    return T.normalize_text(F.regexp_replace(F.coalesce(*tags, F.lit("page")), "<[^>]*>", ""))
+
+
+def _labels(pages: DataFrame) -> DataFrame:
+    return pages.select("page_id", _label().alias("label"))
 
 
 @query(both(LABEL_SQL) + "SELECT page_id, substr(label, 1, 120) AS label FROM lab")
@@ -485,7 +489,7 @@ def annotate_books(spark, d):
     """Every page packed as a book; its label and its shortest stretch of 20 characters or more are highlighted."""
     from spanloom.operators.books import annotate
 
-    pages = _labels(X.table(spark, d, "pages")).join(X.table(spark, d, "pages").select("page_id", F.regexp_replace("html", "<[^>]*>", "\n").alias("plain")), "page_id")
+    pages = X.table(spark, d, "pages").select("page_id", _label().alias("label"), F.regexp_replace("html", "<[^>]*>", "\n").alias("plain"))
     lines = F.array_sort(F.transform(F.split("plain", "\n"), lambda t: F.struct((-F.length(F.trim(t))).alias("n"), F.trim(t).alias("t"))))
     wanted = F.array(F.struct(F.lit("green").alias("color"), F.col("label").alias("text")), F.struct(F.lit("yellow").alias("color"), F.coalesce(F.get(lines, F.lit(0))["t"], F.lit("")).alias("text")))
     h = pages.select(F.col("page_id").alias("doc_id"), F.posexplode(wanted).alias("seq", "w")).select("doc_id", F.col("seq").cast("long").alias("seq"), "w.color", "w.text", F.col("w.text").alias("raw_text"), F.lit("").alias("context_before"), F.lit("").alias("context_after"), F.lit(False).alias("is_image"))
