@@ -597,8 +597,7 @@ def page_notes(spark, d):
 @query()
 def extract_all(spark, d):
     """Every highlight of every document in order, pictures too."""
-    w = X.words(spark, d)
-    return marks.extract(w, X.rects(w))
+    return marks.in_order(marks.marked_units(X.units(spark, d)))
 
 
 @query()
