@@ -141,8 +141,8 @@ def passages_fold(spark, d):
 
 @query()
 def extract_highlights(spark, d):
-    w = X.words(spark, d)
-    return marks.highlights(w, X.rects(w))
+    """Every passage of text; ``marks.highlights`` is the same on tables of words and rects."""
+    return marks.text_only(marks.marked_units(X.units(spark, d)))
 
 
 @query(both(X.SQL_WORDS) + """

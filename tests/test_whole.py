@@ -81,3 +81,16 @@ def test_line_hyphens_are_searched_in_the_whole_turn(spark, tmp_path):
     starts = {r.needle: r.starts for r in QUERIES["line_hyphen_spans"](spark, d).collect()}
     text = "a short one, however mon- eyness and mon- eyness"
     assert starts["moneyness"] == ",".join(str(m.start()) for m in re.finditer("mon- eyness", text))
+
+
+@tables
+def test_whole_documents_are_marked_without_an_exchange(spark):
+    from spanloom.operators import marks
+    from spanloom.plans import fixtures as X
+
+    w = X.words(spark, D)
+    tables_of = {"extract_all": marks.extract(w, X.rects(w)), "extract_highlights": marks.highlights(w, X.rects(w))}
+    for name, want in tables_of.items():
+        got = QUERIES[name](spark, D)
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
