@@ -39,14 +39,15 @@ END_BYTES = END.to_bytes(4, "little")
 RANK_GROUP = 50_000
 ROWS_AT_ONCE = 1_000
 PASSES, PATTERNS_PER_LENGTH, STEPS = 6, 6, 120
-#: Words and stems in a generation of a worker's memory, and their longest; about 150 MB.
-CACHE_ENTRIES, STEM_ENTRIES, CACHE_CHARS = 125_000, 250_000, 40
+#: Stems in a generation of a worker's memory, and their longest; about 100 MB.
+STEM_ENTRIES, CACHE_CHARS = 250_000, 40
 SPLIT = re.compile(rf"[{WHITE}]+")
-#: A run of letters, then symbols; letters whose lower case depends on place or grows are left out.
-WORD = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
-ODD = re.compile("[\u0130\u03a3\u03c2<]")
-#: str.split() also cuts at these, the tokenizer does not.
-SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Letters that composition (NFC) and lower case leave letters. U+0130 and U+0958, say, become a letter
+#: and a mark, which is one token with the symbols after it. Words of other letters are stems whole.
+SCRIPTS = ((0x41, 0x24F), (0x386, 0x3FF), (0x400, 0x52F), (0x5D0, 0x5EA), (0x620, 0x64A), (0x3041, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))
+LETTERS = "".join(c for a, z in SCRIPTS for c in map(chr, range(a, z + 1)) if c.isalpha() and c != "\u0130")
+#: What may follow the letters: no ', which begins tokens with letters in them.
+SYMBOLS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'")
 
 
 def default_tokenizer() -> str:
@@ -57,7 +58,7 @@ def default_tokenizer() -> str:
 
 class Ids:
     """Texts to little-endian 32-bit ids. The tokenizer drops white space and never joins what it
-    parts, so words are encoded once and looked up after."""
+    parts, so stems are encoded once and looked up after."""
 
     def __init__(self, path: str):
         import os
@@ -66,72 +67,60 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.known, self.stems = Recent(CACHE_ENTRIES), Recent(STEM_ENTRIES)
-
-    def _encode(self, stems: set[str]) -> dict[str, bytes]:
-        """Learn the stems; returns where they are known."""
+        self.stems = Recent(STEM_ENTRIES)
+        vocab, suffix = self.tok.get_vocab(), getattr(self.tok.model, "end_of_word_suffix", None)
+        #: Whether an id ends what the tokenizer parts; without such a mark none does.
+        self.last = np.zeros(max(vocab.values(), default=-1) + 1, bool)
+        self.last[[i for w, i in vocab.items() if suffix and w.endswith(suffix)]] = True
+
+    def _together(self, stems: list[str]) -> Iterator[bytes]:
+        """Ids of stems of letters, encoded as one text that is cut again after each last id, if
+        there are as many as stems; else each by itself. One call costs less than a thousand."""
+        ids = np.array(self.tok.encode_batch_fast([" ".join(stems)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(self.last[ids]) + 1
+        if len(cuts) != len(stems) or cuts[-1] != len(ids):
+            return self._apart(stems)
+        blob = ids.tobytes()
+        return (blob[a:b] for a, b in itertools.pairwise([0, *(4 * cuts).tolist()]))
+
+    def _apart(self, stems: list[str]) -> Iterator[bytes]:
+        return (array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(stems, add_special_tokens=False))
+
+    def _blobs(self, stems: pa.DictionaryArray) -> pa.Array:
+        """The ids of each stem. Those of at most ``CACHE_CHARS`` are remembered."""
+        names = stems.dictionary.to_numpy(zero_copy_only=False).tolist()
         self.stems.turn()
-        new = self.stems.missing(stems)
-        for i in range(0, len(new), 1000):
-            self.stems.young.update(self._together(new[i : i + 1000]))
-        return self.stems.young
-
-    def _together(self, stems: list[str]) -> Iterator[tuple[str, bytes]]:
-        """The stems as one text, cut again where the tokenizer's words end, if those are the stems;
-        else each by itself. One call costs less than a thousand."""
-        if all(map(str.isalpha, stems)):
-            e = self.tok.encode(" ".join(stems), add_special_tokens=False)
-            of = np.array(e.word_ids, np.int64)
-            cuts = np.flatnonzero(np.diff(of, prepend=-1, append=-1)) * 4
-            if len(cuts) == len(stems) + 1 and len(of) and of[-1] == len(stems) - 1:
-                ids = np.array(e.ids, "<u4").tobytes()
-                return zip(stems, [ids[a:b] for a, b in itertools.pairwise(cuts.tolist())])
-        return zip(stems, [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(stems, add_special_tokens=False)])
-
-    def _learn(self, missing: list[str]) -> dict[str, bytes]:
-        """Ids of words not known yet; returns those too long to keep. Letters and the symbols
-        after them are tokens apart, and letters are lower-cased by the tokenizer, so most words
-        come down to fewer stems."""
-        match, words, heads, tails, long = WORD.fullmatch, [], [], [], []
-        for w in missing:
-            if len(w) > CACHE_CHARS:
-                long.append(w)
-                continue
-            words.append(w)
-            if w.isalpha() and w.isascii():
-                heads.append(w.lower())
-                tails.append("")
-                continue
-            m = match(w)
-            if m and (w.isascii() or (m[1].isalpha() and not ODD.search(w))):
-                heads.append(m[1].lower())
-                tails.append(m[2])
-            else:
-                heads.append(w)
-                tails.append("")
-        asked = set(heads)
-        asked.update(tails)
-        asked.discard("")
-        stems = self._encode(asked)
-        stems[""] = b""
-        self.known.young.update(zip(words, [stems[a] + stems[z] for a, z in zip(heads, tails)]))
-        return {w: array("I", e.ids).tobytes() for w, e in zip(long, self.tok.encode_batch_fast(long, add_special_tokens=False))}
+        known = self.stems.young
+        long: dict[str, bytes] = {}
+        plain, odd = [], []
+        for w in self.stems.missing(names):
+            (plain if w.isalpha() else odd).append(w)
+        for some, encode in ((plain, self._together), (odd, self._apart)):
+            for i in range(0, len(some), 1000):
+                for w, ids in zip(part := some[i : i + 1000], encode(part), strict=True):
+                    (known if len(w) <= CACHE_CHARS else long)[w] = ids
+        blobs = [known[w] if w in known else long[w] for w in names] if long else list(map(known.__getitem__, names))
+        return pa.array(blobs, pa.large_binary()).take(stems.indices)
+
+    def _words(self, words: pa.Array) -> pa.Array:
+        """The ids of each word. Letters and the symbols after them are tokens apart, and letters
+        are lower-cased by the tokenizer, so most words come down to fewer stems."""
+        head, tail = pc.utf8_rtrim(words, SYMBOLS), pc.utf8_ltrim(words, LETTERS)
+        parted = pc.equal(pc.add(pc.binary_length(head), pc.binary_length(tail)), pc.binary_length(words))
+        heads = pc.if_else(parted, pc.ascii_lower(head), words).dictionary_encode()
+        tails = pc.if_else(parted, tail, "").dictionary_encode()
+        return pc.binary_join_element_wise(self._blobs(heads), self._blobs(tails), pa.scalar(b"", pa.large_binary()))
 
     def of(self, texts: pa.Array) -> tuple[memoryview, list[int]]:
         """Ids of all texts, without end tokens, one after the other, and where each begins and ends.
-        Words are split, told apart and put together again by Arrow; only distinct ones are objects."""
+        Words are split, told apart and put together again by Arrow; only distinct stems are objects."""
         texts = texts.fill_null("")
         if pc.any(pc.match_substring_regex(texts, "[\x1c-\x1f]")).as_py():  # those are no white space here
             lists = pa.array([[w for w in SPLIT.split(t) if w] for t in texts.to_pylist()], pa.list_(pa.string()))
         else:
             lists = pc.utf8_split_whitespace(texts)
         words = lists.flatten().dictionary_encode()
-        distinct = words.dictionary.to_pylist()
-        self.known.turn()
-        now = self._learn(self.known.missing(distinct))
-        known = self.known.young
-        blobs = [known[w] if w in known else now[w] for w in distinct] if now else list(map(known.__getitem__, distinct))
-        ids = pa.array(blobs, pa.large_binary()).take(words.indices)
+        ids = self._words(words.dictionary).take(words.indices)
         starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         if not len(ids):
             return memoryview(b""), [0] * (len(texts) + 1)
